@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import decontaminate, jaccard, quality, repeats, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.toxic_documents,
+        "op4_decontamination": decontaminate.contaminated,
         "op7_quality_rules": quality.quality_rules,
+        "op9_jaccard_join": jaccard.near_duplicates,
+        "op10_shared_passages": repeats.shared_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
-    return {}
+    return {
+        "op4_decontamination": decontaminate.ORACLE,
+        "op9_jaccard_join": jaccard.ORACLE,
+        "op10_shared_passages": repeats.ORACLE,
+    }
