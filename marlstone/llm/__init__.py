@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, quality, repeats, toxicity
+from . import decontaminate, jaccard, pii, quality, repeats, template, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.toxic_documents,
+        "op3_personal_data": pii.personal_data,
         "op4_decontamination": decontaminate.contaminated,
+        "op5_template_removal": template.main_text,
         "op7_quality_rules": quality.quality_rules,
         "op9_jaccard_join": jaccard.near_duplicates,
         "op10_shared_passages": repeats.shared_passages,
