@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, pii, quality, repeats, template, toxicity
+from . import decontaminate, jaccard, langid, pii, quality, repeats, template, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontaminate.contaminated,
         "op5_template_removal": template.main_text,
         "op7_quality_rules": quality.quality_rules,
+        "op8_language_id": langid.languages,
         "op9_jaccard_join": jaccard.near_duplicates,
         "op10_shared_passages": repeats.shared_passages,
     }
