@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, pii, quality, repeats, template, toxicity
+from . import decontaminate, jaccard, langid, pieces, pii, quality, repeats, template, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": pii.personal_data,
         "op4_decontamination": decontaminate.contaminated,
         "op5_template_removal": template.main_text,
+        "op6_segmentations": pieces.segmentations,
         "op7_quality_rules": quality.quality_rules,
         "op8_language_id": langid.languages,
         "op9_jaccard_join": jaccard.near_duplicates,
