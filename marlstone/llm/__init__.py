@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, pieces, pii, quality, repeats, template, toxicity
+from . import decontaminate, jaccard, langid, mixing, pieces, pii, quality, repeats, template, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_context_mixing": mixing.scores,
         "op2_toxicity": toxicity.toxic_documents,
         "op3_personal_data": pii.personal_data,
         "op4_decontamination": decontaminate.contaminated,
