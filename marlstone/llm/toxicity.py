@@ -32,7 +32,7 @@ WINDOW, STEP = 192, 96
 #: Labelled documents of each class that training sees at most; windows of a clean one; documents with a feature at least.
 SAMPLE, CLEAN_WINDOWS, LEAST = 1600, 6, 4
 #: Standard errors that are taken off a log-count ratio.
-SURE = 1.0
+SURE = 2.25
 #: Probability from which a document is toxic.
 THRESHOLD = 0.5
 
