@@ -22,7 +22,8 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_counts(c: Column, dims: int = 32) -> Column:
     """How many words of a text fall in each of ``dims`` buckets by the first 32 bits of their MD5."""
     bucket = F.transform(text.words(c), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)))
+    # One pass over the words: a lambda that mentions the buckets would hash all words again for each of its calls.
+    return F.aggregate(bucket, F.array_repeat(F.lit(0), dims), lambda n, b: F.transform(n, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
 
 
 def hash_embedding(c: Column, dims: int = 32) -> Column:
