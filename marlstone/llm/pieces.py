@@ -35,6 +35,8 @@ from . import text
 from .store import table
 
 MODEL, NBEST, UNKNOWN_LOSS = "/opt/tokenizers/piece_bpe_32k.model", 4, 10.0
+#: Units of a score in the search, where sums are whole numbers and ties exact.
+FIXED = 10**9
 _SPACE = "▁".encode()
 
 
@@ -70,6 +72,7 @@ class Vocabulary:
         self.ids = first
         if any(b" " in p.lstrip(b" ") or (b"\n" in p and len(p) > 1) for p in first):
             raise ValueError("a piece crosses a word start or a line end")
+        self.fixed, self.fixed_unknown = np.round(self.score * FIXED).astype(np.int64).tolist(), round(self.unknown * FIXED)
         self.lengths = sorted({len(p) for p in first})
         self.longest = max(self.lengths)
         self.hash, self.of = self._table(sorted(first))
@@ -220,37 +223,44 @@ def search(word: bytes, n: int, v: Vocabulary) -> list[tuple[float, tuple[int, .
     """The n best segmentations of a word: score and ids, best first, by backward A-star with forward Viterbi scores."""
     size = len(word)
     heads = [i for i in range(size) if i == 0 or word[i] & 0xC0 != 0x80] + [size]
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-    f = [-np.inf] * (size + 1)
-    f[0] = 0.0
+    into: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
+    f: list[int | None] = [None] * (size + 1)
+    f[0] = 0
     for j, i in enumerate(heads[:-1]):
-        if f[i] == -np.inf:
+        here = f[i]
+        if here is None:
             continue
         one = heads[j + 1]
-        known = False
-        for e in range(i + 1, min(size, i + v.longest) + 1):
-            got = v.ids.get(word[i:e])
-            if got is not None:
-                known = known or e == one
-                score = float(v.score[got])
-                into[e].append((i, got, score))
-                f[e] = max(f[e], f[i] + score)
-        if not known:
-            into[one].append((i, -1, v.unknown))
-            f[one] = max(f[one], f[i] + v.unknown)
-    agenda: list[tuple[float, int, float, int, tuple]] = [(-f[size], 0, 0.0, size, ())]
+        edges = [(e, got) for e in range(i + 1, min(size, i + v.longest) + 1) if (got := v.ids.get(word[i:e])) is not None]
+        known = any(e == one for e, _ in edges)
+        for e, got in edges if known else [*edges, (one, -1)]:
+            score = v.fixed[got] if got >= 0 else v.fixed_unknown
+            into[e].append((i, got, score))
+            f[e] = here + score if f[e] is None else max(f[e], here + score)
+    # Of equal priorities the one nearest to the word's start comes first: else, ties would be searched in breadth.
+    agenda: list[tuple[int, int, int, int, tuple | None]] = [(-f[size], size, 0, 0, None)]
     turn, found = itertools.count(1), []
     while agenda and len(found) < n:
-        _, _, after, at, ids = heapq.heappop(agenda)
+        _, at, _, after, path = heapq.heappop(agenda)
         if at == 0:
-            found.append((after, ids))
+            ids: list[int] = []
+            while path:
+                own, path = path
+                ids += own
+            found.append((after / FIXED, tuple(ids)))
             continue
         for i, got, score in into[at]:
             own = (got,) if got >= 0 else tuple(int(v.byte_id[b]) for b in word[i:at])
-            heapq.heappush(agenda, (-(f[i] + score + after), next(turn), score + after, i, own + ids))
+            heapq.heappush(agenda, (-(f[i] + score + after), i, next(turn), score + after, (own, path)))
     return found
 
 
+def led(found: list[tuple[float, tuple[int, ...]]], best: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
+    """The segmentations with the best one that Viterbi chose first; it ties with the first, if it isn't that."""
+    rest = [x for x in found if x[1] != best]
+    return [(found[0][0], best), *(rest if len(rest) < len(found) else rest[:-1])]
+
+
 def combined(choices: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best ways to choose one of each list: what they lose, and the indexes chosen, best first."""
     found = []
@@ -319,7 +329,8 @@ def encode(texts: pa.Array, v: Vocabulary, n: int = NBEST, best_only: bool = Fal
             if w not in cache:
                 if len(cache) > 200_000:
                     cache.clear()
-                cache[w] = search(w, n, v)
+                i = word[a + k]
+                cache[w] = led(search(w, n, v), tuple(flat[foffs[i] : foffs[i + 1]].tolist()))
             choices.append(cache[w])
         row = []
         for gone, at in combined(choices, n)[1:]:

@@ -152,9 +152,10 @@ def test_pipeline_equals_brute_force(spark, tiny):
     from .test_search import brute_pairs, grams
 
     root = {i: i for i in docs.doc_id}
+    close = list(brute_pairs(list(zip(docs.doc_id, docs.text, strict=True)), jaccard.THRESHOLD))
     for _ in range(len(root)):
         changed = False
-        for a, b in brute_pairs(list(zip(docs.doc_id, docs.text, strict=True)), jaccard.THRESHOLD):
+        for a, b in close:
             low = min(root[a], root[b])
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
