@@ -92,6 +92,15 @@ def probability(data: np.ndarray, offs: np.ndarray, fitted: tuple) -> np.ndarray
     return p
 
 
+def ranges(offs: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Rows from i to j, of about ``most`` bytes together, so that training needs little memory beside its tables."""
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def unlike(texts: pa.Array) -> np.ndarray:
     """True for rows that share no min-hash of their word pairs with an earlier row."""
     data, offs = text.raw(texts, lower=True)
@@ -120,7 +129,8 @@ def train(texts: pa.Array, y: np.ndarray) -> tuple:
     if any(not (y[part] == c).any() for part in (held, ~held) for c in (0, 1)):
         return none
     weight, bias = train_windows(texts.filter(pa.array(~held)), y[~held])
-    x = evidence(*text.raw(texts.filter(pa.array(held)), lower=True), weight, bias)
+    data, offs = text.raw(texts.filter(pa.array(held)), lower=True)
+    x = np.concatenate([evidence(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], weight, bias) for i, j in ranges(offs)])
     t = y[held].astype(float)
     n, width = x.shape
     share = np.where(t > 0, 0.5 / t.sum(), 0.5 / (1 - t).sum())
@@ -134,41 +144,44 @@ def train_windows(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, float]:
     dim = 1 << BITS
     data, offs = text.raw(texts, lower=True)
     df = np.zeros((2, dim))
-    row_of = text.owners(offs)
-    for n, h in zip(ORDERS, grams(data), strict=True):
-        row = row_of[: len(h)]
-        inside = row_of[n - 1 :] == row
-        pair = np.unique((row[inside].astype(np.int64) << BITS) | h[inside])
-        label = y[pair >> BITS]
-        for c in (0, 1):
-            df[c] += np.bincount(pair[label == c] & (dim - 1), minlength=dim)
+    for i, j in ranges(offs):
+        part, row_of = data[offs[i] : offs[j]], text.owners(offs[i : j + 1])
+        for n, h in zip(ORDERS, grams(part), strict=True):
+            row = row_of[: len(h)]
+            inside = row_of[n - 1 :] == row
+            pair = np.unique((row[inside] << BITS) | h[inside])
+            label = y[i + (pair >> BITS)]
+            for c in (0, 1):
+                df[c] += np.bincount(pair[label == c] & (dim - 1), minlength=dim)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     ratio = np.log((df[1] + 1) / (n1 + 2)) - np.log((df[0] + 1) / (n0 + 2))
     error = np.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1))
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * error)  # what chance may have made doesn't count
     ratio[df.sum(0) < LEAST] = 0
-    row, start, end = windows(offs)
-    _, z = margins(data, offs, np.maximum(ratio, 0).astype(np.float32), 0.0)
-    top = np.lexsort((start, -z, row))
-    top = top[np.unique(row[top], return_index=True)[1]]
-    turn = np.arange(len(row)) - np.searchsorted(row, row)
-    every = np.maximum(1, np.bincount(row)[row] // CLEAN_WINDOWS)
-    picked = np.unique(np.concatenate([top, np.flatnonzero((y[row] == 0) & (turn % every == 0))]))
-    index, owner = [], []
-    for n, h in zip(ORDERS, grams(data), strict=True):
-        size = np.maximum(0, end[picked] - start[picked] - n + 1)
-        own = np.repeat(np.arange(len(picked)), size)
-        at = start[picked][own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-        index.append(h[at])
-        owner.append(own)
-    index, owner = np.concatenate(index), np.concatenate(owner)
-    used = ratio[index] != 0
-    index, owner = index[used], owner[used]
+    suspicious = np.maximum(ratio, 0).astype(np.float32)
+    index, owner, target = [], [], []
+    for i, j in ranges(offs):
+        part, o, own_y = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], y[i:j]
+        row, start, end = windows(o)
+        _, z = margins(part, o, suspicious, 0.0)
+        top = np.lexsort((start, -z, row))
+        top = top[np.unique(row[top], return_index=True)[1]]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)
+        every = np.maximum(1, np.bincount(row)[row] // CLEAN_WINDOWS)
+        picked = np.unique(np.concatenate([top, np.flatnonzero((own_y[row] == 0) & (turn % every == 0))]))
+        for n, h in zip(ORDERS, grams(part), strict=True):
+            size = np.maximum(0, end[picked] - start[picked] - n + 1)
+            own = np.repeat(np.arange(len(picked)), size)
+            at = h[start[picked][own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)]
+            used = ratio[at] != 0
+            index.append(at[used])
+            owner.append(own[used] + len(target))
+        target.extend(own_y[row[picked]].astype(float))
+    index, owner, target = np.concatenate(index), np.concatenate(owner), np.array(target)
     order = np.argsort(owner, kind="stable")
     index, owner = index[order], owner[order]
-    target = y[row[picked]].astype(float)
     share = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
-    w, b = linear.fit(index, ratio[index], np.searchsorted(owner, np.arange(len(picked) + 1)), target, dim, 1e-4, rounds=60, rate=0.02, weight=share)
+    w, b = linear.fit(index, ratio[index], np.searchsorted(owner, np.arange(len(target) + 1)), target, dim, 1e-4, rounds=60, rate=0.02, weight=share)
     return (w * ratio).astype(np.float32), b
 
 
