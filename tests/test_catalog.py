@@ -8,8 +8,8 @@ from marlstone.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-#: HTML is parsed in Python; tests/test_search.py has the parser's results.
-NO_SQL = {"crawl_report", "html_extract", "html_titles"}
+#: HTML is parsed in Python, full names are patterns made of columns; tests/test_search.py has the parser's results.
+NO_SQL = {"crawl_report", "html_extract", "entity_verdict"}
 
 
 def plain(v):
