@@ -34,6 +34,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ro
     share = np.ones(len(y)) if weight is None else weight
     pos, neg = (share * y).sum(), (share * (1 - y)).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    loss = lambda a, b: (share * (np.logaddexp(0, a * z + b) - t * (a * z + b))).sum() + 5e-4 * (a - 1) ** 2
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = sigmoid(a * z + b)
@@ -41,5 +42,10 @@ def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ro
         grad = np.array([(g * z).sum() + 1e-3 * (a - 1), g.sum()])
         hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
         step = np.linalg.solve(hess, grad)
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
+        step = np.array([np.clip(step[0], -1, 1), np.clip(step[1], -2, 2)])
+        for _ in range(20):  # where margins lie far out, a whole step can overshoot, there and back for ever
+            if loss(a - step[0], b - step[1]) <= loss(a, b):
+                a, b = a - float(step[0]), b - float(step[1])
+                break
+            step /= 2
     return max(a, 1e-3), b

@@ -3,8 +3,8 @@
 Three families of hashed features, each as shares of a text's items: words in lower case,
 pairs of neighbouring words (a word next to itself is one feature of its own, whatever the
 word), and byte 3-grams with their case. A logistic regression is fitted on a bounded
-sample of labelled rows (``SAMPLE`` per class), its probability calibrated on a part of
-them held out. Whole texts are scored in Arrow batches; a probability of at least ``KEEP``
+sample of labelled rows (``SAMPLE`` per class, near copies once), its probability calibrated on margins
+that each row gets from the other folds' weights. Whole texts are scored in Arrow batches; a probability of at least ``KEEP``
 keeps a document, one under ``REJECT`` rejects it, others are for review.
 
 Defined cases: a null or empty text is rejected with probability 0; where a class has no
@@ -23,7 +23,7 @@ from . import linear, text, toxicity
 from .store import table
 
 BITS, GRAM, SCALE = 18, 3, 40.0
-SAMPLE = 1600
+SAMPLE, FOLDS = 1600, 4
 KEEP, REJECT = 0.5, 0.2
 
 
@@ -61,14 +61,27 @@ def margin(data: np.ndarray, offs: np.ndarray, weight: np.ndarray, bias: float)
 
 
 def train(texts: pa.Array, y: np.ndarray) -> tuple | None:
-    """Weights by family, bias, calibration slope and shift; None where a class is missing."""
+    """Weights by family, bias, calibration slope and shift; None where a class is missing.
+
+    All rows fit the weights; they are calibrated, at the rows' own share of classes, on each row's margin by weights that the other folds fit.
+    """
     keep = toxicity.unlike(texts)
     texts, y = texts.filter(pa.array(keep)), y[keep]
-    held = np.arange(len(y)) % 4 == 0
-    if any(not (y[part] == c).any() for part in (held, ~held) for c in (0, 1)):
+    fold = np.arange(len(y)) % FOLDS
+    if any(not (y[fold != k] == c).any() for k in range(FOLDS) for c in (0, 1)):
         return None
-    part = texts.filter(pa.array(~held))
-    data, offs = text.raw(part)
+    z = np.zeros(len(y))
+    for k in range(FOLDS):
+        held = fold == k
+        if held.any():
+            z[held] = margin(*text.raw(texts.filter(pa.array(held))), *train_weights(texts.filter(pa.array(~held)), y[~held]))
+    slope, shift = linear.calibrate(z, y.astype(float))
+    return *train_weights(texts, y), slope, shift
+
+
+def train_weights(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by family and bias, from texts of both classes."""
+    data, offs = text.raw(texts)
     index, value, row = [], [], []
     for k, (h, o) in enumerate(families(data, offs)):
         size = np.diff(o)
@@ -82,13 +95,10 @@ def train(texts: pa.Array, y: np.ndarray) -> tuple | None:
         row.append(own)
     index, value, row = map(np.concatenate, (index, value, row))
     order = np.argsort(row, kind="stable")
-    t = y[~held].astype(float)
+    t = y.astype(float)
     share = np.where(t > 0, 0.5 / t.sum(), 0.5 / (1 - t).sum())
     w, b = linear.fit(index[order], value[order], np.searchsorted(row[order], np.arange(len(t) + 1)), t, 3 << BITS, 1e-5, rounds=60, rate=0.05, weight=share)
-    weight = w.reshape(3, -1).astype(np.float32)
-    z, t = margin(*text.raw(texts.filter(pa.array(held))), weight, b), y[held].astype(float)
-    slope, shift = linear.calibrate(z, t, np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t).mean()))
-    return weight, b, slope, shift
+    return w.reshape(3, -1).astype(np.float32), b
 
 
 def probability(data: np.ndarray, offs: np.ndarray, fitted: tuple | None) -> np.ndarray:

@@ -31,6 +31,9 @@ BITS, ORDERS = 20, (3, 5, 7, 9)
 WINDOW, STEP = 192, 96
 #: Labelled documents of each class that training sees at most; windows of a clean one; documents with a feature at least.
 SAMPLE, CLEAN_WINDOWS, LEAST = 1600, 6, 4
+#: Jaccard similarity of word pairs from which a labelled row is a near copy of an earlier one.
+COPY = 0.7
+_MINS = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Standard errors that are taken off a log-count ratio.
 SURE = 2.25
 #: Probability from which a document is toxic.
@@ -102,17 +105,29 @@ def ranges(offs: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
 
 
 def unlike(texts: pa.Array) -> np.ndarray:
-    """True for rows that share no min-hash of their word pairs with an earlier row."""
+    """False for near copies: rows whose word pairs have a Jaccard similarity of ``COPY`` at least with those of an earlier row that is kept.
+
+    Kept rows of which a quarter of the min-hashes are equal are candidates (of copies practically all); they are verified exactly.
+    """
     data, offs = text.raw(texts, lower=True)
     starts, ends, woffs = text.words(data, offs)
     h, so = text.shingles(text.word_hashes(data, starts, ends), woffs, 2)
-    keep, seen = np.ones(len(offs) - 1, bool), set()
+    keep = np.ones(len(offs) - 1, bool)
+    signs, kept, n = np.zeros((len(keep), len(_MINS)), np.uint64), [], 0
     for i in range(len(keep)):
-        own = h[so[i] : so[i + 1]]
-        if len(own):
-            keys = {(k, int((own * text.U(c)).min())) for k, c in enumerate((1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))}
-            keep[i] = not keys & seen
-            seen |= keys
+        own = np.unique(h[so[i] : so[i + 1]])
+        if not len(own):
+            continue
+        sign = np.array([(own * c).min() for c in _MINS])
+        for k in np.flatnonzero((signs[:n] == sign).sum(1) >= len(_MINS) // 4):
+            both = len(np.intersect1d(own, kept[k], assume_unique=True))
+            if both >= COPY * (len(own) + len(kept[k]) - both):
+                keep[i] = False
+                break
+        if keep[i]:
+            signs[n] = sign
+            kept.append(own)
+            n += 1
     return keep
 
 

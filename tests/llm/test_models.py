@@ -108,6 +108,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert p[y].mean() >= 0.8 and p[~y].mean() <= 0.05, (p[y].mean(), p[~y].mean())
 
 
+def test_only_near_copies_are_dropped_from_training():
+    apart = [prose(k, 400, 40) for k in range(60)]  # many common pairs, no copies
+    assert toxicity.unlike(pa.array(apart)).all()
+    words = prose(99, 300).split()
+    chain = [" ".join(words[k : k + 200]) for k in (0, 20, 40)]  # the second is a copy of the first; the third only of the second
+    rows = [*apart, *chain, apart[7], apart[8] + " and more", "", "one", "one"]
+    assert toxicity.unlike(pa.array(rows)).tolist() == [True] * 61 + [False, True, False, False, True, True, False]
+
+
 def test_log_count_ratios_scale_the_features():
     texts = pa.array([f"clean text number {k} is fine and calm" for k in range(40)] + [f"clean text number {k} vilewordx here" for k in range(40)])
     weight, bias = toxicity.train_windows(texts, np.array([0] * 40 + [1] * 40))
