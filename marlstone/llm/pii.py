@@ -1,6 +1,8 @@
 """Personal data: a linear-chain conditional random field over word-shape features, decoded by Viterbi in numpy batches.
 
-Tokens are runs of bytes that aren't ASCII white space. A token's shape is the tuple of
+Tokens are runs of bytes that aren't ASCII white space, parted at delimiters that no entity holds (quotes, brackets, commas and the
+like, where something follows), between characters of three bytes or more and others, and, beyond ``LONG`` bytes, at
+all other punctuation that no entity holds. A token's shape is the tuple of
 quantised counts of digits, letters, capitals and punctuation kinds in it, whether it is all hexadecimal, and
 whether it is a word that announces a secret; its features are those values, and those of the tokens beside
 it. Weights and label transitions are fitted to a small labelled table (``labelled_table``)
@@ -9,7 +11,7 @@ rows of a slice go side by side through Viterbi, in steps of one token.
 
 Spans are runs of one entity, without punctuation at their ends; ``start`` and ``end`` count characters
 from 0. Defined cases: null and empty texts have no spans; null ids are dropped in ``spans`` and
-left as they are by ``filter_stage``; a token over 255 bytes has a shape of its own kind; repeated rows are
+left as they are by ``filter_stage``; repeated rows are
 decoded alike; empty tables give no rows; other columns are carried along or ignored.
 """
 
@@ -54,8 +56,58 @@ _FIRST = np.concatenate([[0], np.cumsum(_WIDTH)])
 FEATURES = int(_FIRST[-1])
 
 
+def _marks(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+#: Bytes that part what is on both sides of them; those that may stand with them; and those that part only what is longer than ``LONG``.
+_PARTS, _WITH, _PARTS_LONG, LONG = _marks(b"\"'{}[]<>,;&|`\\?="), _marks(b":"), _marks(b":/!*$#%^~()'=,"), 255
+_OPENS = _EDGE | _marks(b"+(")
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return text.words(data, offs, _INK)
+    """Starts and ends of tokens, and each row's offsets into them (rows + 1)."""
+    n, ink = len(data), _INK[data]
+    starts, ends, woffs = text.words(data, offs, _INK)
+    if not n:
+        return starts, ends, woffs
+    far = np.concatenate([data, np.zeros(5, np.uint8)])
+    digit, letter = (far >= 48) & (far <= 57), (far >= 128) | ((far | 32) >= 97) & ((far | 32) <= 122)
+    part = _PARTS[data]
+    at = np.flatnonzero(data == 44)  # a comma of a number's thousands
+    part[at[digit[at - 1] & digit[at + 1] & digit[at + 2] & digit[at + 3] & ~digit[at + 4] & ~(digit[at - 2] & digit[at - 3] & digit[at - 4])]] = False
+    at = np.flatnonzero(data == 39)  # an apostrophe within a word
+    part[at[letter[at - 1] & letter[at + 1]]] = False
+    at = np.flatnonzero(data == 61)  # a short value
+    part[at[ends[np.searchsorted(starts, at, "right") - 1] - at <= 4]] = False
+    run = part | _WITH[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], run, [False]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    if len(begin):
+        own = np.searchsorted(starts, begin, "right") - 1
+        inner = (begin > starts[own]) & (end < ends[own]) & _OPENS[far[end]] & np.logical_or.reduceat(np.append(part, False), np.stack([begin, end], 1).ravel())[::2]
+        gap = np.zeros(n + 1, np.int8)
+        gap[begin[inner]], gap[end[inner]] = 1, -1
+        ink &= np.cumsum(gap[:-1], dtype=np.int8) == 0
+    wide = data >= 0xE0  # characters of three bytes and more: scripts without spaces, dashes, quotation marks
+    first, most = np.flatnonzero(wide), np.flatnonzero(data >= 0xF0)
+    for k, x in ((1, first), (2, first), (3, most)):
+        wide[x[x + k < n] + k] = True
+    new = np.append(True, np.append(wide[1:] != wide[:-1], True))
+    new[offs] = True
+
+    def cut():
+        return np.flatnonzero(ink & (new[:-1] | ~np.append(False, ink[:-1]))), np.flatnonzero(ink & (new[1:] | ~np.append(ink[1:], False))) + 1
+
+    starts, ends = cut()
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        for s, e in zip(starts[long], ends[long], strict=True):
+            ink[s:e] &= ~_PARTS_LONG[data[s:e]]
+        starts, ends = cut()
+    return starts, ends, np.searchsorted(starts, offs)
 
 
 def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -66,6 +118,10 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         fields.append((c[ends] - c[starts])[:, None].view(np.uint8).reshape(-1, 8).astype(np.int64))
     a, b = fields
     length = ends - starts
+    for i in np.flatnonzero(length > 255):  # more than a field of 8 bits holds
+        n = np.bincount(data[starts[i] : ends[i]], minlength=256)
+        for x, lut in ((a, _A), (b, _B)):
+            x[i] = n @ lut[:, None].view(np.uint8).reshape(256, 8).astype(np.int64)
     s, inv = text.sums(np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8))
     said = np.isin(text.span(s, inv, starts, ends), _trigger_hashes())
     letters = a[:, 1] + a[:, 2] + a[:, 3]
@@ -74,7 +130,6 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     code = np.zeros(len(starts), np.int64)
     for v, w in zip(cols, _WIDTH, strict=True):
         code = code * w + v
-    code[length > 255] = 0
     return code
 
 

@@ -215,6 +215,24 @@ def test_spans_and_replacement(spark, field, tiny):
     assert out[1].text == out[3].text == "Ünser mail [EMAIL], call [PHONE] or [IP] now. Card [CARD]!" and out[1].n_chars == len(out[1].text) and out[2].text == "nothing private in here"
 
 
+def test_personal_data_in_unbroken_tokens(spark, field, tiny):
+    mail, card = "ana.bo@mail3.example.com", "4111111111111111"
+    around = {
+        "json": lambda x: "{" + ",".join(f'"k{i}":"value{i}"' for i in range(300)) + f',"email":"{x}",' + ",".join(f'"z{i}":{i}' for i in range(500)) + "}",
+        "csv": lambda x: ",".join(f"cell{i}" for i in range(700)) + f",{x},12," + ";".join(f"cell{i}" for i in range(700)),
+        "url": lambda x: "https://w.example.com/" + "path/" * 900 + f"?a=b&mail={x}&c=" + "d" * 5000,
+        "path": lambda x: "/part" * 1000 + f"/{x}/" + "part/" * 1000,
+        "japanese": lambda x: "日本語の文章" * 280 + x + "です。連絡先" * 280,
+    }
+    rows = [(k, x) for k, x in enumerate((f(what), what) for f in around.values() for what in (mail, card))]
+    docs = make(spark, [(k, text) for k, (text, _) in rows])
+    assert all(len(text.encode()) > 9_000 and not set(text) & set(" \n\t") for _, (text, _) in rows)
+    got = {(r.doc_id, r.kind, r.value) for r in pii.spans(docs, field).collect()}
+    assert got == {(k, "EMAIL" if what == mail else "CARD", what) for k, (_, what) in rows}
+    out = {r.doc_id: r.text for r in pii.filter_stage(spark, docs, tiny).collect()}
+    assert all(out[k] == text.replace(what, "[EMAIL]" if what == mail else "[CARD]") for k, (text, what) in rows)
+
+
 def test_personal_data_edge_cases(spark, edge, empty, field, tiny):
     assert pii.spans(edge, field).collect() == [] and pii.spans(empty, field).collect() == []
     stage = pii.filter_stage(spark, edge, tiny)
