@@ -6,8 +6,8 @@ can't hold the next tag, as a paragraph in a paragraph). The hash of a
 subtree is that of its bytes without white space, from one prefix sum for a whole batch. Spark counts, for
 each host and hash, in how many different pages (by the hash of the whole page, so that copies of a page
 count once) it occurs; subtrees in ``LEAST_PAGES`` or more are the host's template. In a second scan the outermost
-template subtrees are deleted, unless one holds more than ``MOST_SHARE`` of the page's text: that is a copied
-page body, which stays whole. The hashes to delete are broadcast up to ``MOST_KEYS``; beyond, they
+template subtrees are deleted. A copied page body stays: a subtree in less than ``COPIED`` of the host's different pages that holds
+more than ``MOST_SHARE`` of the page's text; in it, the subtrees that are in ``COPIED`` or more of them are deleted. The hashes to delete are broadcast up to ``MOST_KEYS``; beyond, they
 are joined to the subtrees of the pages, and by page.
 
 Inline elements (links, bold and the like) are judged only as parts of what holds them.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import text
 from .store import stored, table
 
-LEAST_PAGES, MOST_SHARE, MOST_KEYS = 3, 0.5, 4 << 20
+LEAST_PAGES, MOST_SHARE, COPIED, MOST_KEYS = 3, 0.5, 0.05, 4 << 20
 _TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S)
 _VOID = frozenset(b"area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(b"a abbr b bdi bdo cite code data em font i kbd mark q s samp small span strong sub sup time tt u var label title".split())
@@ -117,50 +117,57 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """key (host and subtree), page (hash of the page) and page_id of each different subtree of each row."""
+    """key (host and subtree), page (hash of the page), page_id and site (hash of the host) of each different subtree of each row; and with the site as key, the page itself."""
 
     def run(batches):
         for whole in batches:
             for b in text.slices(whole, "html"):
-                _, found, owner, key, page, _ = hashes(b)
+                _, found, owner, key, page, hosts = hashes(b)
                 sub = np.array([x[2] not in _WHOLE for f in found for x in f], bool)
                 key, first = text.distinct(key[sub], np.searchsorted(owner[sub], np.arange(len(found) + 1)))
-                own = text.owners(first)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(page[own].view(np.int64)), b.column("page_id").take(pa.array(own))], ["key", "page", "page_id"])
+                own = np.concatenate([text.owners(first), np.arange(len(found))])
+                key = np.concatenate([key, hosts])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(page[own].view(np.int64)), b.column("page_id").take(pa.array(own)), pa.array(hosts[own].view(np.int64))], ["key", "page", "page_id", "site"])
 
-    return pages.mapInArrow(run, "key long, page long, page_id long")
+    return pages.mapInArrow(run, "key long, page long, page_id long, site long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Keys of the subtrees that recur."""
-    once = subtrees(pages).select("key", "page").distinct()
-    return once.groupBy("key").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("key")
+    """Keys of the subtrees that recur; and whether they are rare, in less than ``COPIED`` of their host's pages."""
+    once = subtrees(pages).select("key", "page", "site").distinct()
+    counted = once.groupBy("key", "site").agg(F.count("*").alias("pages")).where((F.col("pages") >= LEAST_PAGES) | (F.col("key") == F.col("site")))
+    counted = stored(counted, "counted")
+    sites = counted.where("key = site").select("site", F.col("pages").alias("all"))
+    return counted.where("key <> site").join(sites, "site").select("key", (F.col("pages") < COPIED * F.col("all")).alias("rare"))
 
 
 def cleaned(pages: DataFrame, doomed) -> DataFrame:
-    """page_id, host, removed, text. ``doomed`` gives a batch's keys to delete."""
+    """page_id, host, removed, text. ``doomed`` gives a batch's keys to delete, and the rare ones of them, both sorted."""
 
     def run(batches):
         for whole in batches:
             for b in text.slices(whole, "html"):
-                keys = doomed(b)
                 docs, found, owner, key, _, _ = hashes(b)
-                hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+                hit, rare = (keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool) for keys in doomed(b))
                 first = np.searchsorted(owner, np.arange(len(docs) + 1))
                 texts, removed = [], []
                 for i, page in enumerate(docs):
                     here = np.flatnonzero(hit[first[i] : first[i + 1]])
                     pieces, at, n, size = [], 0, 0, None
-                    until = 0
+                    until = body = 0
                     for k in here:
                         s, e, name = found[i][k]
                         if s < until or name in _WHOLE:
                             continue
+                        if rare[first[i] + k]:
+                            if s < body:
+                                continue
+                            if size is None:
+                                size = max(1, len(_ANY.sub(b"", page)))
+                            if e - s > 256 and len(_ANY.sub(b"", page[s:e])) > MOST_SHARE * size and name not in _RAW:
+                                body = e
+                                continue
                         until = e
-                        if size is None:
-                            size = max(1, len(_ANY.sub(b"", page)))
-                        if e - s > 256 and len(_ANY.sub(b"", page[s:e])) > MOST_SHARE * size and name not in _RAW:
-                            continue
                         pieces.append(page[at:s])
                         at, n = e, n + 1
                     texts.append(shown(b"\n".join([*pieces, page[at:]])))
@@ -174,13 +181,14 @@ def without_templates(pages: DataFrame) -> DataFrame:
     pages = with_host(pages)
     found = stored(templates(pages), "templates")
     if found.count() <= MOST_KEYS:
-        shared = pages.sparkSession.sparkContext.broadcast(np.sort(found.toArrow()["key"].to_numpy().view(np.uint64)))
+        got = found.toArrow()
+        keys, rare = got["key"].to_numpy().view(np.uint64), got["rare"].to_numpy()
+        shared = pages.sparkSession.sparkContext.broadcast((np.sort(keys), np.sort(keys[rare])))
         return cleaned(pages, lambda b: shared.value)
-    own = subtrees(pages).join(found, "key", "left_semi").groupBy("page_id").agg(F.collect_set("key").alias("keys"))
+    own = subtrees(pages).join(found, "key").groupBy("page_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("rare"), F.col("key"))).alias("rare"))
 
     def listed(b):
-        flat = b.column("keys").flatten()
-        return np.unique(flat.to_numpy().view(np.uint64))
+        return tuple(np.unique(b.column(c).flatten().to_numpy().view(np.uint64)) for c in ("keys", "rare"))
 
     return cleaned(pages.join(own, "page_id", "left"), listed)
 

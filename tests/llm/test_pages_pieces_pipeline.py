@@ -36,6 +36,18 @@ def test_copies_of_a_page_count_once_and_keep_their_body(spark):
     assert all("The same body" in r.text and "Imprint" in r.text for r in got)
 
 
+def test_templates_go_from_thin_pages_too(spark):
+    menu = "<div id=menu><ul>" + "".join(f"<li><p>Menu entry number {k} of the whole site</p></li>" for k in range(30)) + "</ul></div>"
+    story = "<div id=story><p>" + " ".join(f"told{k}" for k in range(200)) + "</p>" + FOOT + "</div>"
+    rows = [(k, "http://thin.example/", f"<body>{menu}<p>Tag page {k}</p></body>") for k in range(100)]
+    rows += [(k, "http://thin.example/", f"<body><p>Copy {k}</p>{story}</body>") for k in range(100, 104)]
+    rows += [(k, "http://thin.example/", f"<body><p>Other {k}</p>{FOOT}</body>") for k in range(104, 120)]
+    got = {r.page_id: r.text for r in template.without_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Tag page {k}" for k in range(100))
+    assert all("told7 told8" in got[k] and f"Copy {k}" in got[k] and "Imprint" not in got[k] for k in range(100, 104))
+    assert all(got[k] == f"Other {k}" for k in range(104, 120))
+
+
 def test_counts_equal_brute_force(spark, tiny):
     pages = template.with_host(spark.read.parquet(f"{tiny}/pages.parquet"))
     count = {}
