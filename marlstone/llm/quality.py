@@ -74,7 +74,9 @@ def train(texts: pa.Array, y: np.ndarray) -> tuple | None:
     for k in range(FOLDS):
         held = fold == k
         if held.any():
-            z[held] = margin(*text.raw(texts.filter(pa.array(held))), *train_weights(texts.filter(pa.array(~held)), y[~held]))
+            fitted = train_weights(texts.filter(pa.array(~held)), y[~held])
+            data, offs = text.raw(texts.filter(pa.array(held)))
+            z[held] = np.concatenate([margin(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], *fitted) for i, j in toxicity.ranges(offs)])
     slope, shift = linear.calibrate(z, y.astype(float))
     return *train_weights(texts, y), slope, shift
 
@@ -82,22 +84,28 @@ def train(texts: pa.Array, y: np.ndarray) -> tuple | None:
 def train_weights(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by family and bias, from texts of both classes."""
     data, offs = text.raw(texts)
-    index, value, row = [], [], []
-    for k, (h, o) in enumerate(families(data, offs)):
-        size = np.diff(o)
-        own = np.repeat(np.arange(len(size)), size)
-        if k == 2:
-            h = h[np.arange(o[-1]) + np.repeat(offs[:-1] - o[:-1], size)]
-        pair, n = np.unique((own << BITS) | h, return_counts=True)
-        own = pair >> BITS
-        index.append((pair & ((1 << BITS) - 1)) + (k << BITS))
-        value.append(n * SCALE / size[own])
-        row.append(own)
-    index, value, row = map(np.concatenate, (index, value, row))
-    order = np.argsort(row, kind="stable")
+    index, value, sizes = [], [], []
+    for i, j in toxicity.ranges(offs):
+        own_offs = offs[i : j + 1] - offs[i]
+        parts = []
+        for k, (h, o) in enumerate(families(data[offs[i] : offs[j]], own_offs)):
+            size = np.diff(o)
+            own = np.repeat(np.arange(j - i), size)
+            if k == 2:
+                h = h[np.arange(o[-1]) + np.repeat(own_offs[:-1] - o[:-1], size)]
+            pair, n = np.unique((own << BITS) | h, return_counts=True)
+            own = pair >> BITS
+            parts.append(((pair & ((1 << BITS) - 1)) + (k << BITS), n * SCALE / size[own], own))
+        at, n, own = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(own, kind="stable")
+        index.append(at[order].astype(np.int32))
+        value.append(n[order])
+        sizes.append(np.bincount(own, minlength=j - i))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    index, value = np.concatenate(index), np.concatenate(value)
     t = y.astype(float)
     share = np.where(t > 0, 0.5 / t.sum(), 0.5 / (1 - t).sum())
-    w, b = linear.fit(index[order], value[order], np.searchsorted(row[order], np.arange(len(t) + 1)), t, 3 << BITS, 1e-5, rounds=60, rate=0.05, weight=share)
+    w, b = linear.fit(index, value, ends, t, 3 << BITS, 1e-5, rounds=60, rate=0.05, weight=share)
     return w.reshape(3, -1).astype(np.float32), b
 
 
