@@ -16,7 +16,7 @@ Loader = Callable[[SparkSession, str, str], DataFrame]
 
 
 def _whole(spark: SparkSession, at: str, glob: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(at).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(at).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
 def load_text(spark: SparkSession, at: str, glob: str) -> DataFrame:
