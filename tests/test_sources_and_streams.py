@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from marlstone.sources.loaders import Loaders, load_text
+from marlstone.sources.loaders import Loaders, load_pdf_whole, load_text
 from marlstone.streaming import ingest
 
 
@@ -26,6 +26,22 @@ def test_loaders(spark, folder):
     assert got[("d.pdf", 1)] == "Page (one)" and got[("d.pdf", 2)] == "Page\ntwo" and len(got) == 4
 
 
+def test_pdf_pages_follow_the_page_tree(spark, tmp_path):
+    at = tmp_path / "data.v1"
+    at.mkdir()
+    show = b"stream\nBT (%s) Tj ET\nendstream"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [5 0 R 6 0 R 3 0 R] /Count 3 >>", b"<< /Type /Page /Contents 4 0 R >>", b"<< /Length 9 >>\n" + show % b"third", b"<< /Type /Page /Contents [7 0 R 8 0 R] >>", b"<< /Type /Page >>", b"<< /Length 9 >>\n" + show % b"first", b"<< /Length 9 >>\n" + show % b"too"]
+    (at / "x.pdf").write_bytes(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, x) for k, x in enumerate(objects, 1)))
+    got = sorted((r.page, r.text) for r in Loaders().load(spark, str(at)).collect())
+    assert [p for p, _ in got] == [1, 3] and got[0][1].split() == ["first", "too"] and got[1][1] == "third"
+    loaders = Loaders()
+    loaders.register("pdf", load_pdf_whole)
+    assert [(r.page, r.text.split()) for r in loaders.load(spark, str(at)).collect()] == [(None, ["first", "too", "third"])]
+    (at / "y.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /Type /Page >>\nendobj\n")
+    with pytest.raises(Exception, match="no text in"):
+        Loaders().load(spark, f"{at}/y.pdf").collect()
+
+
 def test_unknown_extensions(spark, folder):
     loaders = Loaders()
     with pytest.raises(ValueError, match="no loader for .bin"):
