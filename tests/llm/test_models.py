@@ -17,30 +17,66 @@ from .conftest import make, prose
 # Context mixing
 
 
-def scalar_bits(data, shape, values, other):
-    """Bits of one text, a decision at a time."""
-    depth, nodes, sides = shape
-    raw = np.frombuffer(data, np.uint8)
-    ctx = mixing.contexts(raw, np.array([0, len(raw)]))
-    deep, orders = len(nodes), len(mixing.ORDERS)
-    weight, power = np.full((deep, orders), mixing.WEIGHT), np.ones((deep, orders))
-    cell = np.tile(1 / (1 + np.exp(-(np.arange(mixing.CELLS) - (mixing.CELLS - 1) / 2) * 16 / mixing.CELLS)), (deep, 1))
-    total, at, blocks = 0.0, 0, itertools.chain(mixing.BLOCKS, itertools.repeat(mixing.BLOCKS[-1]))
-    while at < len(raw):
-        to = min(len(raw), at + next(blocks))
-        grad, seen, ones = np.zeros((deep, orders)), np.zeros_like(cell), np.zeros_like(cell)
+def before(data, i, k):
+    """The k bytes before place i as a number, the latest lowest; zeros before the start."""
+    return sum((data[i - j] if i >= j else 0) << (8 * (j - 1)) for j in range(1, k + 1))
+
+
+def slot(context, k, node):
+    return ((context * mixing._SPREAD[k]) % 2**64 >> (64 - mixing.BITS)) ^ int(mixing._NODE[node])
+
+
+def path(data, i, trees):
+    """Node and side of each decision of a byte."""
+    pair = (data[i - 1] if i else 0) * 256 + data[i]
+    return [(int(trees.step[j, pair]) >> 1, int(trees.step[j, pair]) & 1) for j in range(trees.depth[pair])]
+
+
+def scalar_counts(texts, trees):
+    seen = {}
+    for data in texts:
+        for i in range(len(data)):
+            for k, size in enumerate(mixing.ORDERS):
+                for node, y in path(data, i, trees):
+                    n = seen.setdefault((k, slot(before(data, i, size), k, node)), [0, 0])
+                    n[y] += 1
+    return seen
+
+
+def scalar_bits(data, trees, counts):
+    """Bits of one text, a decision at a time, from counts of other texts."""
+    n_in, groups = len(mixing.ORDERS) + 1, (mixing.STATES, mixing.DEEP)
+    weight, power = np.full((n_in, *groups), mixing.WEIGHT), np.ones((n_in, *groups))
+    weight[-1] = np.array(mixing.TRUST)[:, None]
+    cell = np.tile(1 / (1 + np.exp(-(np.arange(mixing.CELLS) - (mixing.CELLS - 1) / 2) * 16 / mixing.CELLS)), (*groups, 1))
+    latest, run, total, at, blocks = {}, 0, 0.0, 0, itertools.chain(mixing.BLOCKS, itertools.repeat(mixing.BLOCKS[-1]))
+    while at < len(data):
+        to = min(len(data), at + next(blocks))
+        grad, seen, ones = np.zeros_like(weight), np.zeros_like(cell), np.zeros_like(cell)
         for i in range(at, to):
-            for j in range(depth[raw[i]]):
-                node, y = nodes[j, raw[i]], sides[j, raw[i]]
-                x = np.array([values[other, k, mixing.slots(ctx[k][i : i + 1], np.array([node], np.uint8))[0]] / 15.0 for k in range(orders)])
-                dot = float(np.clip(x @ weight[j], -12, 12))
+            guess = latest.get(before(data, i, mixing.MATCH))
+            state = 1 if run == 0 else 2 if run <= mixing.SURE else 3
+            said = None if guess is None else path(data[:i] + bytes([data[guess]]), i, trees)
+            for j, (node, y) in enumerate(path(data, i, trees)):
+                x = []
+                for k, size in enumerate(mixing.ORDERS):
+                    n0, n1 = counts.get((k, slot(before(data, i, size), k, node)), (0, 0))
+                    x.append(round(max(-127, min(127, math.log((n1 + 0.4) / (n0 + 0.4)) * 15))) / 15)
+                x.append(0 if said is None else 1 if said[j][1] else -1)
+                group = (0 if said is None else state, min(j, mixing.DEEP - 1))
+                x = np.array(x)
+                dot = float(np.clip(x @ weight[:, *group], -12, 12))
                 p = 1 / (1 + math.exp(-dot))
                 c = int(np.clip(dot * mixing.CELLS / 16 + mixing.CELLS / 2, 0, mixing.CELLS - 1))
-                q = (p + cell[j, c]) / 2
+                q = (p + cell[*group, c]) / 2
                 total -= math.log2(q if y else 1 - q)
-                grad[j] += (y - p) * x
-                seen[j, c] += 1
-                ones[j, c] += y
+                grad[:, *group] += (y - p) * x
+                seen[*group, c] += 1
+                ones[*group, c] += y
+                if said is not None and said[j][1] != y:
+                    said = None
+            run = run + 1 if guess is not None and data[guess] == data[i] else 0
+            latest[before(data, i, mixing.MATCH)] = i
         power += grad * grad
         weight += mixing.RATE * grad / np.sqrt(power)
         cell = (cell + mixing.PULL * ones) / (1 + mixing.PULL * seen)
@@ -48,38 +84,57 @@ def scalar_bits(data, shape, values, other):
     return total
 
 
+def halves(spark, texts):
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", F.xxhash64(F.lit(1), "text").bitwiseAND(1).alias("h")).collect()
+    return {r.text: r.h for r in rows}
+
+
 def test_mixing_equals_a_scalar_version(spark):
-    texts = [prose(k, 20 + 90 * k, 60) for k in range(5)]
-    docs = make(spark, list(enumerate(texts)))
-    shape = mixing.tree(mixing.byte_counts(docs))
-    values = mixing.predictors(docs, shape)
+    texts = [prose(k, 20 + 60 * k, 60) for k in range(6)] + ["ab" * 150 + "é日", "x"]
+    docs = make(spark, list(enumerate([*texts, texts[2]])))
+    trees = mixing.Trees(mixing.pair_counts(docs))
+    half, raw = halves(spark, texts), {x: x.encode() for x in texts}
+    counts = [scalar_counts([raw[x] for x in texts if half[x] != h], trees) for h in (0, 1)]
     got = {r.doc_id: r.bits for r in mixing.bits_per_byte(docs).collect()}
+    assert set(half.values()) == {0, 1} and got[len(texts)] == got[2]
     for k, x in enumerate(texts):
-        data, offs = T.raw(pa.array([x]))
-        assert got[k] == pytest.approx(scalar_bits(x.encode(), shape, values, 1 - int(mixing.folds(data, offs)[0])), rel=2e-3)
+        assert got[k] == pytest.approx(scalar_bits(raw[x], trees, counts[half[x]]), rel=2e-3)
 
 
 def test_mixing_counts_the_whole_corpus(spark):
-    docs = make(spark, [(k, prose(k, 300, 50)) for k in range(12)])
-    texts = [r.text for r in docs.select("text").collect()]
-    shape = mixing.tree(mixing.byte_counts(docs))
-    assert (mixing.byte_counts(docs) == np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256)).all()
-    once = mixing.count([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], shape)
-    want = mixing.stretched(once[..., 0::2].astype(np.int64), once[..., 1::2].astype(np.int64))
-    assert (mixing.predictors(docs, shape) == want).all()
-
-
-def test_mixing_codes_are_proper(spark):
-    depth, nodes, sides = mixing.tree(np.arange(256) ** 2)
-    assert sum(2.0 ** -int(d) for d in depth) == pytest.approx(1)
-    assert len({tuple((nodes[j, b], sides[j, b]) for j in range(depth[b])) for b in range(256)}) == 256
+    texts = [prose(k, 300, 50) for k in range(12)]
+    want = np.zeros((256, 256), int)
+    for x in texts:
+        for a, b in itertools.pairwise([0, *x.encode()]):
+            want[a, b] += 1
+    assert (mixing.pair_counts(make(spark, list(enumerate(texts)))).reshape(256, 256) == want).all()
+    trees = mixing.Trees(want.reshape(-1))
+    values = mixing.count([T.raw(pa.array(texts[:5])), T.raw(pa.array(texts[5:]))], trees)
+    for (k, at), (n0, n1) in scalar_counts([x.encode() for x in texts], trees).items():
+        assert values[k, at] == round(max(-127, min(127, math.log((n1 + 0.4) / (n0 + 0.4)) * 15)))
+    assert np.count_nonzero(values) <= len(scalar_counts([x.encode() for x in texts], trees))
+
+
+def test_mixing_cells_grow_with_the_corpus(spark, monkeypatch):
+    docs = make(spark, [(k, prose(k, 200, 50)) for k in range(60)])
+    one = {r.doc_id: r.bits for r in mixing.bits_per_byte(docs).collect()}
+    monkeypatch.setattr(mixing, "CELL", 5000)
+    some = {r.doc_id: r.bits for r in mixing.bits_per_byte(docs).collect()}
+    assert one.keys() == some.keys() and sum(one.values()) < sum(some.values())  # smaller cells know less
+
+
+def test_mixing_codes_are_proper():
+    depth, steps = mixing.tree(np.arange(256) ** 2)
+    assert sum(2.0 ** -int(d) for d in depth) == pytest.approx(1) and depth.max() < 24
+    assert len({tuple(steps[: depth[b], b]) for b in range(256)}) == 256
+    assert mixing.tree(np.array([10**12] + [0] * 255))[0].max() < 24
 
 
 def test_mixing_finds_known_prose_cheaper_than_noise(spark):
     rows = [(k, prose(k, 200, 80)) for k in range(40)]
     noise = "".join(chr(33 + int(c)) for c in np.random.default_rng(1).integers(0, 90, 1500))
-    got = {r.doc_id: r.bits_per_byte for r in mixing.bits_per_byte(make(spark, [*rows, (99, noise)])).collect()}
-    assert max(v for k, v in got.items() if k != 99) < 4 < got[99]
+    got = {r.doc_id: r.bits_per_byte for r in mixing.bits_per_byte(make(spark, [*rows, (99, noise), (100, "abcdefgh" * 100)])).collect()}
+    assert max(v for k, v in got.items() if k < 99) < 4 < got[99] and got[100] < 1
 
 
 def test_mixing_edge_cases(spark, edge, empty):
