@@ -4,48 +4,57 @@ Shingles are ordered by how rare they are, by counts of all documents in a hashe
 (any one order gives the same result; a good one gives short lists). A set of n shingles has a prefix of
 n - ceil(t n) + 1; two sets of similarity t or more have a shingle in common in their
 prefixes. Documents with the same prefix and size are one group, which is indexed once, however many
-copies it has. Records (shingle, group, size, position) are packed by range of the shingle's hash and
+copies it has. Records (shingle, the one before it, group, size, position) are packed by range of the shingle's hash and
 sent to one task for each range, which joins them in numpy: pairs of groups must pass the size and the
-position filter, and are taken at their first common shingle where the two before it tell so. Group pairs
-are expand to pairs of distinct sets (and sets of one group among each other); a histogram of each set's hashes
-gives an upper bound on the overlap and drops most chance pairs; the rest are verified exactly
-on the whole sets, which travel once for each family of candidates rather than for each pair. Members
-of equal sets are expanded last.
+position filter, and are taken where the shingles before differ. A shingle that the counts show to be in more than ``HOT`` records is
+salted: its records are cut in blocks, and each pair of blocks is a range of its own, so that no task gets all of them.
 
-``pairs`` gives each pair of documents once, with doc_a < doc_b. ``kept`` gives
+Documents of equal sets are one class, represented by its least doc_id. Group pairs are expanded to pairs of classes (and classes of
+one group among each other), which are verified exactly on the whole sets: pairs of a family of candidates, cut in blocks
+of at most about ``BLOCK_BYTES`` of text, go to one task with the text of each class once.
+
+``pairs`` gives each pair of similar classes once, by their representatives, doc_a < doc_b, and each other member of a class with its
+representative, at 1.0: all pairs of documents follow, and copies aren't expanded. ``filter_stage`` keeps
 one document of each connected group.
 
-Defined cases: null ids are dropped; texts without words are in no pair; a text of fewer than ``N`` words
-is one shingle; repeated rows count once; a document is never paired with itself; empty
-tables give no rows; other columns are ignored.
+Defined cases: rows without an id, or with one that is no whole number, are in no pair; so are texts without words; a text of fewer
+than ``N`` words is one shingle; repeated rows count once; a document is never paired with itself; of equal least ids, the class of
+the least hash comes first; texts of any length are compared whole; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text
 from .decontaminate import SQL_WORDS
-from .store import stored, table
+from .store import discard, stored, table
 
 N, THRESHOLD = 2, 0.7
-#: Counters that order the shingles; bytes of index records for a task; ids that may be broadcast.
-BUCKETS, TASK_BYTES, MOST_IDS = 1 << 21, 24 << 20, 4 << 20
+#: Counters that order the shingles; bytes of index records for a task and of texts for a block; records of a shingle in a range.
+BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT = 1 << 21, 12 << 20, 16 << 20, 1 << 15
 _CHUNK = 1 << 16
-_RECORD = np.dtype([("token", "<u4"), ("before", "<u4"), ("before2", "<u4"), ("size", "<u4"), ("at", "<u4"), ("group", "<u8")])
-_MEMBER = np.dtype([("doc", "<i8"), ("print", "<u8"), ("group", "<u8"), ("size", "<u4"), ("bins", "<u4")])
+_RECORD = np.dtype([("token", "<u8"), ("before", "<u8"), ("group", "<u8"), ("size", "<u4"), ("at", "<u4")])
+_MEMBER = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("print", "<u8"), ("group", "<u8"), ("bytes", "<u4"), ("pad", "<u4")])
 
 
-def sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and offsets."""
-    data, offs = text.raw(batch.column("text"), lower=True)
+    data, offs = text.raw(texts, lower=True)
     starts, ends, woffs = text.words(data, offs)
     return text.distinct(*text.shingles(text.word_hashes(data, starts, ends), woffs, N))
 
 
+def prints(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each row's set."""
+    total = np.concatenate([np.zeros(1, text.U), np.cumsum(text.mix(h))])
+    return text.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(text.U))
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """The overlap that sets of these sizes need."""
     return np.ceil(t / (1 + t) * (a.astype(np.int64) + b) - 1e-9)
@@ -56,84 +65,99 @@ def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """For each counter a rank from rare to frequent, and the number of shingles of all documents."""
+    """For each counter a rank from rare to frequent (eight times the logarithm of its count), and the number of shingles of all documents.
+
+    Counts are summed in two levels, so that no task reads the counts of all others.
+    """
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for whole in batches:
-            for b in text.slices(whole, "text"):
-                h, _ = sets(b)
-                total += np.bincount((h >> text.U(43)).astype(np.int64), minlength=BUCKETS)
+            for b in text.slices(whole, "text", 1 << 20):
+                at = np.sort((sets(b.column("text"))[0] >> text.U(43)).astype(np.uint32))
+                first = np.flatnonzero(np.append(len(at) > 0, at[1:] != at[:-1]))
+                total[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
         if total.any():
-            cut = total.astype("<i8").reshape(-1, _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut)), pa.int32()), pa.array([c.astype("<u4").tobytes() for c in cut], pa.binary())], ["chunk", "counts"])
+            yield batch(dict(enumerate(total.astype("<i8").reshape(-1, _CHUNK))))
+
+    def batch(total):
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(c, "<u4").astype(np.int64)
-        for k, c in total.items():
-            rank = np.minimum(255, np.log2(np.maximum(c, 1)) * 8).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()], pa.binary()), pa.array([int(c.sum())])], ["chunk", "rank", "n"])
-
-    got = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(8, "chunk").mapInArrow(add, "chunk int, rank binary, n long").collect()
-    rank = np.zeros(BUCKETS, np.uint8)
-    for r in got:
-        rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(bytes(r.rank), np.uint8)
-    return rank, sum(r.n for r in got)
-
-
-def bins(n: np.ndarray) -> np.ndarray:
-    """Histogram cells of a set of n, a power of two."""
-    return (1 << np.ceil(np.log2(np.maximum(2, n / 4))).astype(np.int64)).astype(np.int64)
-
-
-def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, t: float) -> pa.RecordBatch:
+            for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(c.as_buffer(), "<i8")
+        if total:
+            yield batch(total)
+
+    chunks, schema = BUCKETS // _CHUNK, "chunk int, counts binary"
+    some = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % 64).repartition(chunks, "chunk", "part").select("chunk", "counts").mapInArrow(add, schema)
+    rank, n = np.zeros(BUCKETS, np.uint8), 0
+    for r in some.repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
+        c = np.frombuffer(bytes(r.counts), "<i8")
+        rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.minimum(255, np.log2(np.maximum(c, 1)) * 8)
+        n += int(c.sum())
+    return rank, n
+
+
+def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: float) -> pa.RecordBatch:
     """Index records and members of a slice, packed by the task they go to."""
-    h, offs = sets(batch)
-    doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    h, offs = sets(batch.column("text"))
     size = np.diff(offs)
     row = text.owners(offs)
-    order = (rank[(h >> text.U(43)).astype(np.int64)].astype(text.U) << text.U(56)) | (h >> text.U(8))
-    by = np.lexsort((order, row))
+    often = rank[(h >> text.U(43)).astype(np.int64)]
+    order = (often.astype(text.U) << text.U(56)) | (h >> text.U(8))
+    by = np.argsort(order, kind="stable")
+    by = by[np.argsort(row[by].astype(np.int32), kind="stable")]
     token = order[by]
     p = prefix_size(size, t)
     own = np.repeat(np.arange(len(size)), p)
     at = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
     where = offs[:-1][own] + at
-    total = lambda v, o: (c := np.concatenate([np.zeros(1, text.U), np.cumsum(v)]))[o[1:]] - c[o[:-1]]
-    group = text.mix(total(text.mix(token[where]), np.concatenate([[0], np.cumsum(p)])) + size.astype(text.U))
-    prints = text.mix(total(text.mix(h), offs) + size.astype(text.U))
+    total = np.concatenate([np.zeros(1, text.U), np.cumsum(text.mix(token[where]))])
+    poffs = np.concatenate([[0], np.cumsum(p)])
+    group = text.mix(total[poffs[1:]] - total[poffs[:-1]] + size.astype(text.U))
+    once = np.zeros(len(size), bool)
+    once[np.unique(group, return_index=True)[1]] = True  # a group is indexed once
+    on = once[own]
+    own, at, where = own[on], at[on], where[on]
     record = np.empty(len(where), _RECORD)
-    low = (token & text.U(0xFFFFFFFF)).astype(np.uint32)
-    record["token"] = low[where]
-    record["before"] = np.where(at > 0, low[np.maximum(0, where - 1)], np.uint32(0))
-    record["before2"] = np.where(at > 1, low[np.maximum(0, where - 2)], np.uint32(0))
+    record["token"], record["before"] = token[where], np.where(at > 0, token[np.maximum(0, where - 1)], text.U(0))
     record["size"], record["at"], record["group"] = size[own], at, group[own]
-    to = ((token[where] >> text.U(32)) & text.U(0xFFFFFF)).astype(np.int64) % parts
+    to = ((token[where] >> text.U(20)) & text.U(0xFFFFFFFF)).astype(np.int64) % parts
+    salts = -(-np.exp2((token[where] >> text.U(56)).astype(np.float64) / 8).astype(np.int64) // hot)
+    many = np.flatnonzero(salts > 1)
+    if len(many):  # a copy for each pair of blocks that the record's block is in
+        n = salts[many]
+        again = np.repeat(many, n)
+        one = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+        mine = (record["group"][again] >> text.U(7)).astype(np.int64) % salts[again]
+        pair = np.minimum(one, mine) * salts[again] + np.maximum(one, mine)
+        few = np.flatnonzero(salts <= 1)
+        block = np.concatenate([np.zeros(len(few), np.int64), pair + 1])
+        to = np.concatenate([to[few], (to[again] + text.mix(pair.astype(text.U)).astype(np.int64) % parts) % parts])
+        record = record[np.concatenate([few, again])]
+        side = np.where(one == mine, 0, np.where(mine < one, 1, 2)).astype(np.uint32)
+        record["at"] |= np.concatenate([np.zeros(len(few), np.uint32), side]) << np.uint32(30)
+        # A pair of blocks has a token of its own; the top bits of the position tell its two blocks apart.
+        record["token"] = np.where(block > 0, text.mix(record["token"] + block.astype(text.U) * text.U(0x9E3779B97F4A7C15)), record["token"])
     by = np.argsort(to, kind="stable")
     record, cut = record[by], np.searchsorted(to[by], np.arange(parts + 1))
-    cells = bins(size)
-    cells[size == 0] = 0
-    coffs = np.concatenate([[0], np.cumsum(cells)])
-    hist = np.minimum(255, np.bincount(coffs[:-1][row] + ((h >> text.U(20)).astype(np.int64) & (cells[row] - 1)), minlength=coffs[-1])).astype(np.uint8)
-    member = np.empty(len(size), _MEMBER)
-    member["doc"], member["print"], member["group"], member["size"], member["bins"] = doc, prints, group, size, cells
     full = np.flatnonzero(size)
-    mto = (prints[full] >> text.U(24)).astype(np.int64) % parts
-    out_to, out = [], []
-    for k in range(parts):
-        mine = full[mto == k]
-        part = record[cut[k] : cut[k + 1]]
-        if len(mine) or len(part):
-            out_to.append(k)
-            cells_of = b"".join(hist[coffs[i] : coffs[i + 1]].tobytes() for i in mine)
-            out.append(np.array([len(part), len(mine)], "<u4").tobytes() + b"".join(part[f].tobytes() for f in _RECORD.names) + member[mine].tobytes() + cells_of)
-    return pa.RecordBatch.from_arrays([pa.array(out_to, pa.int32()), pa.array(out, pa.binary())], ["part", "payload"])
-
-
-def joined(record: np.ndarray, t: float, most: int = 1 << 21):
+    member = np.zeros(len(full), _MEMBER)
+    member["doc"], member["hash"] = text.ids(batch, "doc_id")[full], text.ids(batch, "hash")[full]
+    member["print"], member["group"] = prints(h, offs)[full], group[full]
+    member["bytes"] = np.minimum(np.diff(text.raw(batch.column("text"))[1])[full], 0xFFFFFFFF)
+    mto = (member["print"] >> text.U(24)).astype(np.int64) % parts
+    by = np.argsort(mto, kind="stable")
+    member, mcut = member[by], np.searchsorted(mto[by], np.arange(parts + 1))
+    out_to = np.flatnonzero((np.diff(cut) > 0) | (np.diff(mcut) > 0))
+    out = [np.array([cut[k + 1] - cut[k]], "<u8").tobytes() + record[cut[k] : cut[k + 1]].tobytes() + member[mcut[k] : mcut[k + 1]].tobytes() for k in out_to]
+    return pa.RecordBatch.from_arrays([pa.array(out_to.astype(np.int32)), pa.array(out, pa.binary())], ["part", "payload"])
+
+
+def joined(record: np.ndarray, t: float, most: int = 1 << 20):
     """Distinct pairs of groups of one task's records, a part at a time."""
     record = record[np.lexsort((record["group"], record["size"], record["token"]))]
     token, group = record["token"], record["group"]
@@ -156,150 +180,154 @@ def joined(record: np.ndarray, t: float, most: int = 1 << 21):
             i = np.repeat(np.arange(at, to), c)
             j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             a, b = record[i], record[j]
+            side = a["at"] >> np.uint32(30)
+            other = (side == 0) | (side != b["at"] >> np.uint32(30))
+            a["at"] &= np.uint32(0x3FFFFFFF)
+            b["at"] &= np.uint32(0x3FFFFFFF)
             rest = np.minimum(a["size"] - a["at"], b["size"] - b["at"])
-            ok = (rest >= least_overlap(a["size"], b["size"], t)) & (a["group"] != b["group"])
-            for x, f in (("before", 0), ("before2", 1)):
-                for y, g in (("before", 0), ("before2", 1)):
-                    ok &= ~((a[x] == b[y]) & (a["at"] > f) & (b["at"] > g))
+            ok = (rest >= least_overlap(a["size"], b["size"], t)) & (a["group"] != b["group"]) & other
+            ok &= ~((a["before"] == b["before"]) & (a["at"] > 0) & (b["at"] > 0))
             a, b = a["group"][ok], b["group"][ok]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pair
+            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         at = to
 
 
-def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs of groups; and distinct sets: print, group, size, hist, the least doc_id and all of them."""
+def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of groups (ga, gb); the classes: print, group, bytes, and the least doc_id with its text's hash; the members: print, doc_id, hash."""
     spark = docs.sparkSession
     rank, shingle_count = ranks(docs)
     parts = max(4, int(shingle_count * (1.05 - t) * _RECORD.itemsize / TASK_BYTES))
+    hot = max(HOT, 4 * shingle_count // BUCKETS)  # counters hold several shingles
     shared = spark.sparkContext.broadcast(rank)
 
     def pack(batches):
         for whole in batches:
-            for b in text.slices(whole, "text", 4 << 20):
-                yield packed(b, shared.value, parts, t)
+            for b in text.slices(whole, "text", 1 << 20):
+                yield packed(b, shared.value, parts, hot, t)
+
+    names = ["pair", "a", "b", "doc_id", "hash", "bytes"]
 
-    schema = "part int, a long, b long, doc_id long, size int, hist binary"
+    def rows(pair, a, b, member=None):
+        n = len(a)
+        extra = [pa.nulls(n, pa.int64())] * 3 if member is None else [pa.array(member[c].astype(np.int64)) for c in ("doc", "hash", "bytes")]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, pair)), pa.array(a.astype(text.U).view(np.int64)), pa.array(b.astype(text.U).view(np.int64)), *extra], names)
 
     def join(batches):
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
-                held.setdefault(k, []).append(payload.as_py())
+                raw = payload.as_buffer()
+                n = int(np.frombuffer(raw, "<u8", 1)[0])
+                held.setdefault(k, []).append(np.frombuffer(raw, _RECORD, n, 8).copy())
+                member = np.frombuffer(raw, _MEMBER, offset=8 + n * _RECORD.itemsize)
+                if len(member):
+                    yield rows(False, member["print"], member["group"], member)
         for k in list(held):
-            records, none = [], pa.nulls
-            for payload in held.pop(k):
-                n, m = np.frombuffer(payload, "<u4", 2)
-                record, at = np.empty(n, _RECORD), 8
-                for f in _RECORD.names:
-                    kind = _RECORD[f]
-                    record[f] = np.frombuffer(payload, kind, n, at)
-                    at += int(n) * kind.itemsize
-                records.append(record)
-                member = np.frombuffer(payload, _MEMBER, m, at)
-                at += member.nbytes
-                if m:
-                    ends = (at + np.cumsum(member["bins"].astype(np.int64))).tolist()
-                    hist = [payload[s:e] for s, e in zip([at, *ends[:-1]], ends, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(member["print"].view(np.int64) if member["print"].flags.contiguous else member["print"].copy().view(np.int64)), pa.array(member["group"].copy().view(np.int64)), pa.array(member["doc"].copy()), pa.array(member["size"].astype(np.int32)), pa.array(hist, pa.binary())], ["part", "a", "b", "doc_id", "size", "hist"])
-            for pair in joined(np.concatenate(records), t):
-                n = len(pair)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(pair[:, 0].copy().view(np.int64)), pa.array(pair[:, 1].copy().view(np.int64)), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], ["part", "a", "b", "doc_id", "size", "hist"])
-
-    both = stored(docs.mapInArrow(pack, "part int, payload binary").repartition(parts, "part").mapInArrow(join, schema), "groups")
-    pairs = both.where("part = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
-    members = both.where("part = 1").select(F.col("a").alias("print"), F.col("b").alias("group"), "doc_id", "size", "hist")
-    found = members.groupBy("print").agg(F.first("group").alias("group"), F.first("size").alias("size"), F.first("hist").alias("hist"), F.min("doc_id").alias("least"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-    return pairs, stored(found, "sets")
-
-
-def bounded(pairs: DataFrame, t: float) -> DataFrame:
-    """The pairs (a, b, na, nb, ha, hb) whose histograms allow enough overlap: a, b."""
-
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            need = least_overlap(na, nb, t)
-            for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int64)
-                n = min(len(x), len(y))
-                full = x.max() == 255 or y.max() == 255
-                keep[i] = full or np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum() >= need[i]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def similar(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of distinct sets, by their least doc_id (a < b) with their similarity; and the sets."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    groups, found = candidates(docs, t)
-    one = found.select("print", "group", "size", "hist", "least")
-    # A text may have several sets' least id where ids repeat; the print tells sets apart.
-    left = one.select(*(F.col(c).alias(f"{c}_a") for c in one.columns))
-    right = one.select(*(F.col(c).alias(f"{c}_b") for c in one.columns))
-    across = groups.join(left, F.col("ga") == F.col("group_a")).join(right, F.col("gb") == F.col("group_b")).drop("ga", "gb")
-    within = left.join(right, (F.col("group_a") == F.col("group_b")) & (F.col("print_a") < F.col("print_b")))
-    both = across.unionByName(within)
-    swap = F.col("print_a") < F.col("print_b")
-    pick = lambda c, first: F.when(swap, F.col(f"{c}_a" if first else f"{c}_b")).otherwise(F.col(f"{c}_b" if first else f"{c}_a"))
-    pairs = both.select(pick("print", True).alias("a"), pick("print", False).alias("b"), pick("size", True).alias("na"), pick("size", False).alias("nb"), pick("hist", True).alias("ha"), pick("hist", False).alias("hb"))
-    pairs = stored(bounded(pairs, t), "pairs")
+            for pair in joined(np.concatenate(held.pop(k)), t):
+                yield rows(True, pair[:, 0], pair[:, 1])
+
+    both = stored(docs.mapInArrow(pack, "part int, payload binary").repartition(parts, "part").mapInArrow(join, "pair boolean, a long, b long, doc_id long, hash long, bytes long"), "groups")
+    found = both.where("pair").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
+    members = both.where("not pair").select(F.col("a").alias("print"), "doc_id", "hash")
+    classes = both.where("not pair").groupBy(F.col("a").alias("print")).agg(F.first("b").alias("group"), F.max("bytes").alias("bytes"), F.min(F.struct("doc_id", "hash")).alias("first"))
+    return found, stored(classes, "classes"), members
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """a, b (prints), jaccard of the pairs (a < b) that reach the threshold.
+
+    A family is the pairs of equal least partners; of the texts of a larger family than a block, each half of a pair is
+    salted by hash, and each pair of salts is a block.
+    """
     label = pairs.groupBy("b").agg(F.min("a").alias("label"))
-    label_a, label_b = label.select(F.col("b").alias("a"), F.col("label").alias("la")), label.select("b", F.col("label").alias("lb"))
-    keyed = pairs.join(label_b, "b").join(label_a, "a", "left")
-    keyed = keyed.select(F.xxhash64(F.coalesce("la", "a"), "lb").alias("key"), "a", "b")
-    need = keyed.select("key", F.col("a").alias("print")).unionByName(keyed.select("key", F.col("b").alias("print"))).distinct()
-    wanted = need.select("print").distinct().join(one.select("print", F.col("least").alias("doc_id")), "print")
-
-    def whole(batches):
-        for big in batches:
-            for b in text.slices(big, "text"):
-                h, offs = sets(b)
-                size = np.diff(offs)
-                total = np.concatenate([np.zeros(1, text.U), np.cumsum(text.mix(h))])
-                prints = text.mix(total[offs[1:]] - total[offs[:-1]] + size.astype(text.U))
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array([h[s:e].tobytes() for s, e in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], ["print", "shingles"])
-
-    chosen = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    full = chosen.mapInArrow(whole, "print long, shingles binary").dropDuplicates(["print"])
-    sent = need.join(full, "print").select("key", F.col("print").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = keyed.select("key", "a", "b", F.lit(None).cast("binary").alias("shingles")).unionByName(sent)
+    keyed = pairs.join(label.select("b", F.col("label").alias("lb")), "b").join(label.select(F.col("b").alias("a"), F.col("label").alias("la")), "a", "left")
+    keyed = keyed.select(F.xxhash64(F.coalesce("la", "a"), "lb").alias("family"), "a", "b")
+    ends = keyed.select("family", F.col("a").alias("print")).unionByName(keyed.select("family", F.col("b").alias("print"))).distinct()
+    salts = ends.join(classes.select("print", "bytes"), "print").groupBy("family").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("salts")).where("salts > 1")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.coalesce("salts", F.lit(1)))
+    keyed = stored(keyed.join(salts, "family", "left").select(F.xxhash64("family", salt("a"), salt("b")).alias("block"), "a", "b"), "keyed")
+    need = keyed.select("block", F.col("a").alias("print")).unionByName(keyed.select("block", F.col("b").alias("print"))).distinct()
+    wanted = need.select("print").distinct().join(classes.select("print", "first.doc_id", "first.hash"), "print")
+    # Where an id repeats with the hash of its text, any one of the rows will do.
+    texts = docs.join(wanted, ["doc_id", "hash"]).select("print", "text").dropDuplicates(["print"])
+    none = F.lit(None).cast("long")
+    sent = need.join(texts, "print").select("block", F.col("print").alias("a"), none.alias("b"), "text")
+    rows = keyed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
 
     def verify(batches):
-        key_now, held, waiting = None, {}, []
+        now, waiting = None, []
         for batch in batches:
-            a_out, b_out, j_out = [], [], []
-            for key, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "shingles")), strict=True):
-                if key != key_now:
-                    key_now, held = key, {}
-                if s is not None:
-                    held[a] = np.frombuffer(s, text.U)
-                else:
-                    x, y = held[a], held[b]
-                    x, y = (x, y) if len(x) <= len(y) else (y, x)
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    same = int(np.count_nonzero(y[at] == x))
-                    j = same / (len(x) + len(y) - same)
-                    if j >= t:
-                        a_out.append(a)
-                        b_out.append(b)
-                        j_out.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(j_out, pa.float64())], ["a", "b", "jaccard"])
-
-    checked = rows.repartition("key").sortWithinPartitions("key", F.col("shingles").isNull()).mapInArrow(verify, "a long, b long, jaccard double")
-    return stored(checked, "similar"), found
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if waiting and block[s] != now:
+                    yield from solved(waiting)
+                    waiting = []
+                now = block[s]
+                waiting.append(batch.slice(s, e - s))
+            # Slices of one batch keep it whole; what waits for the next one is copied.
+            waiting = [pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]] if len(waiting) > 1 else waiting
+        if waiting:
+            yield from solved(waiting)
+
+    def solved(parts):
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        is_text = whole["text"].is_valid()
+        have, pair = whole.filter(is_text), whole.filter(pc.invert(is_text))
+        keys, codes, offs = [], [], [0]
+        for b in have.to_batches():
+            for one in text.slices(b, "text", 1 << 20):
+                h, o = sets(one.column("text"))
+                keys.append(one.column("a").to_numpy())
+                codes.append(h)
+                offs.extend((o[1:] + offs[-1]).tolist())
+        if not keys or not pair.num_rows:
+            return
+        keys, offs = np.concatenate(keys), np.array(offs)
+        tokens, code = np.unique(np.concatenate(codes), return_inverse=True)
+        by = np.argsort(keys)
+        a, b = (by[np.searchsorted(keys, pair[c].to_numpy(), sorter=by)] for c in ("a", "b"))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        size, same = np.diff(offs), np.zeros(len(a), np.int64)
+        seen = np.zeros(len(tokens), bool)
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        for s, e in zip(first, np.append(first[1:], len(a)), strict=True):
+            mine = code[offs[a[s]] : offs[a[s] + 1]]
+            seen[mine] = True
+            for k in range(s, e):
+                same[k] = np.count_nonzero(seen[code[offs[b[k]] : offs[b[k] + 1]]])
+            seen[mine] = False
+        j = same / (size[a] + size[b] - same)
+        good = j >= t
+        yield pa.RecordBatch.from_arrays([pa.array(keys[a[good]]), pa.array(keys[b[good]]), pa.array(j[good])], ["a", "b", "jaccard"])
+
+    checked = rows.repartition("block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long, jaccard double")
+    out = stored(checked, "similar")
+    discard(keyed)
+    return out
+
+
+def similar(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified pairs of classes (prints a, b, jaccard), the classes, and their members."""
+    docs = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where("doc_id is not null")
+    groups, classes, members = candidates(docs, t)
+    left, right = (classes.select(F.col("group").alias(f"g{x}"), F.col("print").alias(f"p{x}")) for x in "ab")
+    across = groups.join(left, "ga").join(right, "gb").select("pa", "pb")
+    within = left.join(right, (F.col("ga") == F.col("gb")) & (F.col("pa") < F.col("pb"))).select("pa", "pb")
+    pairs = stored(across.unionByName(within).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")), "pairs")
+    out = verified(pairs, classes, docs, t)
+    discard(pairs)
+    return out, classes, members
 
 
 def pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """doc_a, doc_b, jaccard of all pairs of documents of at least the threshold, members of equal sets expanded."""
-    verified, found = similar(docs, t)
-    ids = found.select("print", "doc_ids")
-    near = verified.join(ids.select(F.col("print").alias("a"), F.col("doc_ids").alias("ids_a")), "a").join(ids.select(F.col("print").alias("b"), F.col("doc_ids").alias("ids_b")), "b")
-    near = near.select("jaccard", "ids_b", F.explode("ids_a").alias("x")).select("jaccard", "x", F.explode("ids_b").alias("y"))
-    same = ids.where(F.size("doc_ids") > 1).select(F.lit(1.0).alias("jaccard"), "doc_ids", F.explode("doc_ids").alias("x")).select("jaccard", "x", F.explode(F.filter("doc_ids", lambda y: y > F.col("x"))).alias("y"))
-    out = near.unionByName(same).where("x <> y")
+    """doc_a, doc_b, jaccard of the representatives of similar classes, and of each other member of a class and its representative."""
+    found, classes, members = similar(docs, t)
+    first = classes.select("print", F.col("first.doc_id").alias("first"))
+    near = found.join(first.select(F.col("print").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
+    same = members.select("print", F.col("doc_id").alias("y")).distinct().join(first.withColumnRenamed("first", "x"), "print").select("x", "y", F.lit(1.0).alias("jaccard"))
+    out = near.select("x", "y", "jaccard").unionByName(same).where("x <> y")
     return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -337,32 +365,37 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without all but the least doc_id of each group of connected near copies, with all their columns.
+    """The documents without all but one of each group of connected near copies, with all their columns: the one with the least doc_id
+    (and of its texts, if it has several in the group, the one of the least hash).
 
-    Rows without an id, or without words, stay. Rows that repeat an id with an equal set of shingles stay once.
+    Rows without an id (a whole number), or without words, stay. Decisions are about a row's id and text: another text of the same id stands for
+    itself. Rows that repeat an id and its text stay once, the one whose columns have the least hash.
     """
-    verified, found = similar(docs, THRESHOLD)
-    least = found.select("print", "least")
-    edges = verified.join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
-    copies = found.where(F.size("doc_ids") > 1).select(F.explode("doc_ids").alias("y"), F.col("least").alias("x")).where("x <> y")
-    later = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("v").alias("doc_id"))
-    later = stored(later.unionByName(copies.select(F.col("y").alias("doc_id"))).distinct(), "later")
-    n = later.count()
-    out = docs.join(F.broadcast(later) if n <= MOST_IDS else later, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found, classes, members = similar(docs, THRESHOLD)
+    roots = components(found.select("a", "b"))
+    first = classes.join(roots.select(F.col("v").alias("print"), "root"), "print", "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
+    kept = first.select("first.doc_id", "first.hash")
+    later = stored(members.select("doc_id", "hash").distinct().join(kept, ["doc_id", "hash"], "left_anti"), "later")
+    names, mark = docs.columns, "_".join(["hash", *docs.columns])
+    ident = F.expr("try_cast(doc_id as long)")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    gone = later.select(F.col("doc_id").alias(f"{mark}_id"), F.col("hash").alias(f"{mark}_hash"))
+    out = marked.join(gone, (ident == F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_hash")), "left_anti")
+    again = stored(members.groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias(f"{mark}_id"), F.col("hash").alias(f"{mark}_hash")), "again")
     if again.isEmpty():
-        return out
-    again = stored(again, "again")
-    same = F.xxhash64(*(F.col(c) for c in docs.columns if c != "doc_id"))
-    once = out.join(again, "doc_id", "left_semi").withColumn("__row", same).dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return out.select(*names)
+    repeats = (ident == F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_hash"))
+    row = F.struct(*(F.col(c) for c in names))
+    once = out.join(again, repeats).groupBy(f"{mark}_id", f"{mark}_hash").agg(F.min_by(row, F.xxhash64(*(F.col(c) for c in names))).alias("row")).select("row.*")
+    return out.join(again, repeats, "left_anti").select(*names).unionByName(once)
 
 
 ORACLE = rf"""
 WITH d AS (SELECT DISTINCT doc_id, {SQL_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - {N - 1}, 1) + 1), lambda i: array_to_string(w[i:i+{N - 1}], ' '))) AS s FROM d WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(c / (a.n + b.n - c), 6) AS jaccard FROM p JOIN n a ON a.doc_id = doc_a JOIN n b ON b.doc_id = doc_b
-WHERE c / (a.n + b.n - c) >= {THRESHOLD}
+e AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {N - 1}, 1) + 1), lambda i: array_to_string(w[i:i+{N - 1}], ' ')))) AS l FROM d WHERE len(w) > 0),
+k AS (SELECT doc_id, l, min(doc_id) OVER (PARTITION BY l) AS rep FROM e),
+s AS (SELECT doc_id, len(l) AS n, unnest(l) AS s FROM k WHERE doc_id = rep),
+p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS c, any_value(x.n) AS a, any_value(y.n) AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b, round(c / (a + b - c), 6) AS jaccard FROM p WHERE c / (a + b - c) >= {THRESHOLD}
+UNION ALL SELECT rep, doc_id, 1.0 FROM k WHERE doc_id <> rep
 """

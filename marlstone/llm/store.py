@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch for Python workers.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared(spark: SparkSession) -> str:
     """The shared folder."""
@@ -29,13 +32,15 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
+def discard(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote and that nothing lazy reads any more."""
-    jvm = spark.sparkContext._jvm
+    sc = df.sparkSession.sparkContext
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = sc._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH) == "67108864b":  # its default; long texts fill a batch of that size many times over in the workers
+        spark.conf.set(_BATCH, "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

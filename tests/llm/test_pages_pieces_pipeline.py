@@ -161,19 +161,9 @@ def test_pipeline_equals_brute_force(spark, tiny):
     labels, bench = spark.read.parquet(f"{tiny}/labels.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet").toPandas()
     fitted = toxicity.model(spark.read.parquet(f"{tiny}/documents.parquet"), labels)
     docs = docs[toxicity.probability(*T.raw(pa.array(docs.text), lower=True), fitted) < toxicity.THRESHOLD]
-    from .test_search import brute_pairs, grams
-
-    root = {i: i for i in docs.doc_id}
-    close = list(brute_pairs(list(zip(docs.doc_id, docs.text, strict=True)), jaccard.THRESHOLD))
-    for _ in range(len(root)):
-        changed = False
-        for a, b in close:
-            low = min(root[a], root[b])
-            changed |= root[a] != low or root[b] != low
-            root[a] = root[b] = low
-        if not changed:
-            break
-    docs = docs[[root[i] == i for i in docs.doc_id]]
+    from .test_search import first_of_each_group, grams
+
+    docs = docs[docs.doc_id.isin(first_of_each_group(list(zip(docs.doc_id, docs.text, strict=True))))]
     items = [s for x in bench.text if len(s := grams(x, decontaminate.N)) and len(x.split()) >= decontaminate.N]
     docs = docs[[not any(len(s & grams(x, decontaminate.N)) / len(s) >= decontaminate.THRESHOLD for s in items) for x in docs.text]]
     model, texts = pii.train(pii.labelled_table()), []

@@ -1,5 +1,6 @@
 """Near copies, contamination and shared passages against brute force, and their edge cases."""
 
+import itertools
 import random
 import re
 
@@ -27,25 +28,40 @@ def corpus(spark, tiny, extra=()):
     return got + list(extra)
 
 
-def brute_pairs(rows, t):
-    sets, out = {}, {}
+def classes(rows):
+    """Sets of shingles, each with the ids that have it."""
+    out = {}
     for i, x in rows:
         if i is not None and grams(x, jaccard.N):
-            sets.setdefault(i, set()).add(frozenset(grams(x, jaccard.N)))
-    flat = [(i, s) for i, own in sets.items() for s in own]
-    for i, s in flat:
-        for j, u in flat:
-            if i < j and (v := len(s & u) / len(s | u)) >= t:
-                out.setdefault((i, j), set()).add(round(v, 6))
+            out.setdefault(frozenset(grams(x, jaccard.N)), set()).add(i)
     return out
 
 
+def brute_pairs(rows, t):
+    """Rows (doc_a, doc_b, jaccard): representatives of similar classes, and members with theirs."""
+    flat = [(min(ids), s, ids) for s, ids in classes(rows).items()]
+    out = {(i, k, 1.0) for i, _, ids in flat for k in ids if k != i}
+    for (i, s, _), (j, u, _) in itertools.combinations(flat, 2):
+        if i != j and (v := len(s & u) / len(s | u)) >= t:
+            out.add((min(i, j), max(i, j), round(v, 6)))
+    return sorted(out)
+
+
 def test_jaccard_join_is_exact(spark, tiny):
     rows = corpus(spark, tiny, [(20_000 + k, "same short text") for k in range(40)] + [(30_000, "same short")])
+    got = sorted((r.doc_a, r.doc_b, r.jaccard) for r in jaccard.pairs(make(spark, rows)).collect())
+    assert got == brute_pairs(rows, jaccard.THRESHOLD) and len([x for x in got if x[0] == 20_000]) == 39
+
+
+def test_hot_shingles_and_large_families_are_cut_in_blocks(spark, monkeypatch):
+    base = prose(8, 120).split()
+    rows = [(k, " ".join([*base[: k % 7], f"u{k}", f"v{k}", *base[k % 7 + 2 :]])) for k in range(70)] + [(100 + k, prose(k, 50)) for k in range(40)]
     want = brute_pairs(rows, jaccard.THRESHOLD)
-    got = [(r.doc_a, r.doc_b, r.jaccard) for r in jaccard.pairs(make(spark, rows)).collect()]
-    assert len(got) == len(set(got)) and sorted(got) == sorted((a, b, j) for (a, b), js in want.items() for j in js)
-    assert len(got) > 780
+    assert len(want) > 2000
+    for name, value in (("HOT", 1 << 15), ("HOT", 7), ("BLOCK_BYTES", 9000), ("TASK_BYTES", 20_000)):
+        monkeypatch.setattr(jaccard, name, value)
+        got = [(r.doc_a, r.doc_b, r.jaccard) for r in jaccard.pairs(make(spark, rows)).collect()]
+        assert sorted(got) == want
 
 
 def test_jaccard_join_edge_cases(spark, edge, empty):
@@ -57,6 +73,14 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, edge, empty, tiny):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in jaccard.filter_stage(spark, edge, "").collect()) == sorted([(True, 0)] * 2 + [(False, k) for k in (1, 2, 3, 4, 5, 7, 8, 9)])
     assert jaccard.filter_stage(spark, empty, "").collect() == []
     rows = corpus(spark, tiny)
+    docs = make(spark, rows)
+    kept = jaccard.filter_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == first_of_each_group(rows)
+
+
+def first_of_each_group(rows):
+    """The ids that stay, where ids are different."""
     root = {i: i for i, _ in rows}
 
     def find(i):
@@ -64,13 +88,19 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, edge, empty, tiny):
             i = root[i]
         return i
 
-    for a, b in brute_pairs(rows, jaccard.THRESHOLD):
+    for a, b, _ in brute_pairs(rows, jaccard.THRESHOLD):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    docs = make(spark, rows)
-    kept = jaccard.filter_stage(spark, docs, "")
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if find(i) == i)
+    return sorted(i for i in root if find(i) == i)
+
+
+def test_jaccard_stage_tells_texts_of_one_id_apart(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (7, a), (7, b), (9, b + " x"), (9, b + " x"), (3, a + " y"), (12, "Other Words here"), (12, "other words HERE")]
+    got = sorted((r.doc_id, r.text) for r in jaccard.filter_stage(spark, make(spark, rows), "").collect())
+    assert got[:2] == [(1, a), (7, b)] and len(got) == 3 and got[2][0] == 12
+    named = spark.createDataFrame([("5", a, 1, "p"), ("x", a, 2, "q"), ("6", a, 3, "r"), ("5", a, 1, "p")], "doc_id string, text string, hash int, __row string")
+    assert sorted(map(tuple, jaccard.filter_stage(spark, named, "").collect())) == [("5", a, 1, "p"), ("x", a, 2, "q")]
 
 
 def test_components_of_a_long_chain(spark):
