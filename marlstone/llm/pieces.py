@@ -361,7 +361,7 @@ def encoded(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
     def run(batches):
         v, cache = vocabulary(path), {}
         for whole in batches:
-            for b in text.slices(whole, "text", 4 << 20):
+            for b in text.slices(whole, "text", 2 << 20):
                 got = encode(b.column("text"), v, n, cache=cache)
                 none = pc.is_null(b.column("text")).to_numpy(zero_copy_only=False)
                 counts = np.diff(got["ioffs"])

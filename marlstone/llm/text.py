@@ -16,20 +16,23 @@ import pyarrow.compute as pc
 U = np.uint64
 _P, _MIX = 0x9E3779B97F4A7C15 | 1, U(0xBF58476D1CE4E5B9)
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_KEPT = 1 << 21
 _POW: dict[str, np.ndarray] = {"p": np.ones(1, U), "i": np.ones(1, U)}
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POW["p"]) < n:
+    """The first n powers of the base and of its inverse, modulo 2**64; up to ``_KEPT`` of them are kept."""
+    have = _POW
+    if len(have["p"]) < n:
         m = 1 << (n - 1).bit_length()
+        have = _POW if m <= _KEPT else {}
         for k, base in (("p", _P), ("i", pow(_P, -1, 2**64))):
             a = np.full(m, base, U)
             a[0] = 1
-            _POW[k] = np.cumprod(a, dtype=U)
-    return _POW["p"][:n], _POW["i"][:n]
+            have[k] = np.cumprod(a, dtype=U)
+    return have["p"][:n], have["i"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about ``most`` bytes of text; a longer row stands alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
