@@ -35,10 +35,12 @@ from .decontaminate import SQL_WORDS
 from .store import discard, stored, table
 
 N, THRESHOLD = 2, 0.7
-#: Counters that order the shingles; bytes of index records for a task and of texts for a block; records of a shingle in a range.
-BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT = 1 << 21, 12 << 20, 16 << 20, 1 << 15
+#: Counters that order the shingles; bytes of index records for a task and of texts for a block; records of a shingle in a range; ids to broadcast.
+BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 21, 12 << 20, 16 << 20, 1 << 15, 1 << 20
 _CHUNK = 1 << 16
-_RECORD = np.dtype([("token", "<u8"), ("before", "<u8"), ("group", "<u8"), ("size", "<u4"), ("at", "<u4")])
+#: What a record takes in a payload, a column at a time. Of a shingle 32 bits go with its range (others that share them give candidates that
+#: don't stand verification); of the one before it, which drops a pair, 48.
+_RECORD = np.dtype([("token", "<u4"), ("low", "<u4"), ("high", "<u2"), ("group", "<u8"), ("size", "<u4"), ("at", "<u4")])
 _MEMBER = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("print", "<u8"), ("group", "<u8"), ("bytes", "<u4"), ("pad", "<u4")])
 
 
@@ -123,9 +125,10 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
     on = once[own]
     own, at, where = own[on], at[on], where[on]
     record = np.empty(len(where), _RECORD)
-    record["token"], record["before"] = token[where], np.where(at > 0, token[np.maximum(0, where - 1)], text.U(0))
+    before = np.where(at > 0, token[np.maximum(0, where - 1)], text.U(0))
+    record["token"], record["low"], record["high"] = (token[where] & text.U(0xFFFFFFFF)), before & text.U(0xFFFFFFFF), before >> text.U(32) & text.U(0xFFFF)
     record["size"], record["at"], record["group"] = size[own], at, group[own]
-    to = ((token[where] >> text.U(20)) & text.U(0xFFFFFFFF)).astype(np.int64) % parts
+    to = ((token[where] >> text.U(24)) & text.U(0xFFFFFFFF)).astype(np.int64) % parts
     salts = -(-np.exp2((token[where] >> text.U(56)).astype(np.float64) / 8).astype(np.int64) // hot)
     many = np.flatnonzero(salts > 1)
     if len(many):  # a copy for each pair of blocks that the record's block is in
@@ -141,7 +144,7 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
         side = np.where(one == mine, 0, np.where(mine < one, 1, 2)).astype(np.uint32)
         record["at"] |= np.concatenate([np.zeros(len(few), np.uint32), side]) << np.uint32(30)
         # A pair of blocks has a token of its own; the top bits of the position tell its two blocks apart.
-        record["token"] = np.where(block > 0, text.mix(record["token"] + block.astype(text.U) * text.U(0x9E3779B97F4A7C15)), record["token"])
+        record["token"] = np.where(block > 0, text.mix(record["token"] + block.astype(text.U) * text.U(0x9E3779B97F4A7C15)) & text.U(0xFFFFFFFF), record["token"])
     by = np.argsort(to, kind="stable")
     record, cut = record[by], np.searchsorted(to[by], np.arange(parts + 1))
     full = np.flatnonzero(size)
@@ -152,8 +155,9 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
     mto = (member["print"] >> text.U(24)).astype(np.int64) % parts
     by = np.argsort(mto, kind="stable")
     member, mcut = member[by], np.searchsorted(mto[by], np.arange(parts + 1))
+    columns = {f: np.ascontiguousarray(record[f]) for f in _RECORD.names}
     out_to = np.flatnonzero((np.diff(cut) > 0) | (np.diff(mcut) > 0))
-    out = [np.array([cut[k + 1] - cut[k]], "<u8").tobytes() + record[cut[k] : cut[k + 1]].tobytes() + member[mcut[k] : mcut[k + 1]].tobytes() for k in out_to]
+    out = [np.array([cut[k + 1] - cut[k]], "<u8").tobytes() + b"".join(columns[f][cut[k] : cut[k + 1]].tobytes() for f in _RECORD.names) + member[mcut[k] : mcut[k + 1]].tobytes() for k in out_to]
     return pa.RecordBatch.from_arrays([pa.array(out_to.astype(np.int32)), pa.array(out, pa.binary())], ["part", "payload"])
 
 
@@ -186,7 +190,7 @@ def joined(record: np.ndarray, t: float, most: int = 1 << 20):
             b["at"] &= np.uint32(0x3FFFFFFF)
             rest = np.minimum(a["size"] - a["at"], b["size"] - b["at"])
             ok = (rest >= least_overlap(a["size"], b["size"], t)) & (a["group"] != b["group"]) & other
-            ok &= ~((a["before"] == b["before"]) & (a["at"] > 0) & (b["at"] > 0))
+            ok &= ~((a["low"] == b["low"]) & (a["high"] == b["high"]) & (a["at"] > 0) & (b["at"] > 0))
             a, b = a["group"][ok], b["group"][ok]
             yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         at = to
@@ -218,8 +222,12 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
             for k, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
                 raw = payload.as_buffer()
                 n = int(np.frombuffer(raw, "<u8", 1)[0])
-                held.setdefault(k, []).append(np.frombuffer(raw, _RECORD, n, 8).copy())
-                member = np.frombuffer(raw, _MEMBER, offset=8 + n * _RECORD.itemsize)
+                record, at = np.empty(n, _RECORD), 8
+                for f in _RECORD.names:
+                    record[f] = np.frombuffer(raw, _RECORD[f], n, at)
+                    at += n * _RECORD[f].itemsize
+                held.setdefault(k, []).append(record)
+                member = np.frombuffer(raw, _MEMBER, offset=at)
                 if len(member):
                     yield rows(False, member["print"], member["group"], member)
         for k in list(held):
@@ -247,11 +255,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
     salt = lambda c: F.pmod(F.xxhash64(c), F.coalesce("salts", F.lit(1)))
     keyed = stored(keyed.join(salts, "family", "left").select(F.xxhash64("family", salt("a"), salt("b")).alias("block"), "a", "b"), "keyed")
     need = keyed.select("block", F.col("a").alias("print")).unionByName(keyed.select("block", F.col("b").alias("print"))).distinct()
-    wanted = need.select("print").distinct().join(classes.select("print", "first.doc_id", "first.hash"), "print")
+    first = classes.select("print", "first.doc_id", "first.hash")
+    wanted = stored(need.select("print").distinct().join(first, "print").select("doc_id", "hash"), "wanted")
     # Where an id repeats with the hash of its text, any one of the rows will do.
-    texts = docs.join(wanted, ["doc_id", "hash"]).select("print", "text").dropDuplicates(["print"])
-    none = F.lit(None).cast("long")
-    sent = need.join(texts, "print").select("block", F.col("print").alias("a"), none.alias("b"), "text")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    sent = texts.join(need.join(first, "print"), ["doc_id", "hash"]).select("block", F.col("print").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = keyed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
 
     def verify(batches):
@@ -305,6 +313,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
     checked = rows.repartition("block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long, jaccard double")
     out = stored(checked, "similar")
     discard(keyed)
+    discard(wanted)
     return out
 
 

@@ -25,11 +25,17 @@ def shared(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
+    """Write ``df`` as Parquet in the shared folder and read it again.
+
+    The driver then collects its garbage: what shuffles have left on the executors' disks goes with the last reference to them.
+    """
     spark = df.sparkSession
     at = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    schema = df.schema
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(at)
 
 
 def discard(df: DataFrame) -> None:
