@@ -244,12 +244,16 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """a, b (prints), jaccard of the pairs (a < b) that reach the threshold.
 
-    A family is the pairs of equal least partners; of the texts of a larger family than a block, each half of a pair is
-    salted by hash, and each pair of salts is a block.
+    A family is the pairs of equal labels, the least class up to three steps away (so that a text seldom goes to several); of the
+    texts of a larger family than a block, each half of a pair is salted by hash, and each pair of salts is a block.
     """
-    label = pairs.groupBy("b").agg(F.min("a").alias("label"))
-    keyed = pairs.join(label.select("b", F.col("label").alias("lb")), "b").join(label.select(F.col("b").alias("a"), F.col("label").alias("la")), "a", "left")
-    keyed = keyed.select(F.xxhash64(F.coalesce("la", "a"), "lb").alias("family"), "a", "b")
+    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
+    for _ in range(2):
+        label = edges.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    label = stored(label, "labels")
+    keyed = pairs.join(label.withColumnRenamed("label", "la"), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("lb")), "b")
+    keyed = keyed.select(F.xxhash64("la", "lb").alias("family"), "a", "b")
     ends = keyed.select("family", F.col("a").alias("print")).unionByName(keyed.select("family", F.col("b").alias("print"))).distinct()
     salts = ends.join(classes.select("print", "bytes"), "print").groupBy("family").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("salts")).where("salts > 1")
     salt = lambda c: F.pmod(F.xxhash64(c), F.coalesce("salts", F.lit(1)))
@@ -312,8 +316,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
 
     checked = rows.repartition("block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long, jaccard double")
     out = stored(checked, "similar")
-    discard(keyed)
-    discard(wanted)
+    for done in (label, keyed, wanted):
+        discard(done)
     return out
 
 
