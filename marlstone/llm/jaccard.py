@@ -11,7 +11,7 @@ salted: its records are cut in blocks, and each pair of blocks is a range of its
 
 Documents of equal sets are one class, represented by its least doc_id. Group pairs are expanded to pairs of classes (and classes of
 one group among each other), which are verified exactly on the whole sets: pairs of a family of candidates, cut in blocks
-of at most about ``BLOCK_BYTES`` of text, go to one task with the text of each class once.
+of about twice ``BLOCK_BYTES`` of text at most, go to one task with the text of each class once.
 
 ``pairs`` gives each pair of similar classes once, by their representatives, doc_a < doc_b, and each other member of a class with its
 representative, at 1.0: all pairs of documents follow, and copies aren't expanded. ``filter_stage`` keeps
@@ -25,6 +25,7 @@ the least hash comes first; texts of any length are compared whole; empty tables
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,8 @@ from .decontaminate import SQL_WORDS
 from .store import discard, stored, table
 
 N, THRESHOLD = 2, 0.7
-#: Counters that order the shingles; bytes of index records for a task and of texts for a block; records of a shingle in a range; ids to broadcast.
-BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 21, 12 << 20, 16 << 20, 1 << 15, 1 << 20
+#: Counters that order the shingles; bytes of index records for a task, and of texts that share a salt; records of a shingle in a range; ids to broadcast.
+BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 21, 12 << 20, 24 << 20, 1 << 15, 1 << 20
 _CHUNK = 1 << 16
 #: What a record takes in a payload, a column at a time. Of a shingle 32 bits go with its range (others that share them give candidates that
 #: don't stand verification); of the one before it, which drops a pair, 48.
@@ -245,7 +246,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
     """a, b (prints), jaccard of the pairs (a < b) that reach the threshold.
 
     A family is the pairs of equal labels, the least class up to three steps away (so that a text seldom goes to several); of the
-    texts of a larger family than a block, each half of a pair is salted by hash, and each pair of salts is a block.
+    texts of a larger family than ``BLOCK_BYTES`` each is salted by hash, and each pair of salts is a block.
     """
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
@@ -257,7 +258,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
     ends = keyed.select("family", F.col("a").alias("print")).unionByName(keyed.select("family", F.col("b").alias("print"))).distinct()
     salts = ends.join(classes.select("print", "bytes"), "print").groupBy("family").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("salts")).where("salts > 1")
     salt = lambda c: F.pmod(F.xxhash64(c), F.coalesce("salts", F.lit(1)))
-    keyed = stored(keyed.join(salts, "family", "left").select(F.xxhash64("family", salt("a"), salt("b")).alias("block"), "a", "b"), "keyed")
+    keyed = stored(keyed.join(salts, "family", "left").select(F.xxhash64("family", F.least(salt("a"), salt("b")), F.greatest(salt("a"), salt("b"))).alias("block"), "a", "b"), "keyed")
     need = keyed.select("block", F.col("a").alias("print")).unionByName(keyed.select("block", F.col("b").alias("print"))).distinct()
     first = classes.select("print", "first.doc_id", "first.hash")
     wanted = stored(need.select("print").distinct().join(first, "print").select("doc_id", "hash"), "wanted")
@@ -285,7 +286,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
     def solved(parts):
         whole = pa.Table.from_batches(parts).combine_chunks()
         is_text = whole["text"].is_valid()
-        have, pair = whole.filter(is_text), whole.filter(pc.invert(is_text))
+        have, pair = whole.filter(is_text), whole.filter(pc.invert(is_text)).select(["a", "b"])
+        parts.clear()
+        del whole
         keys, codes, offs = [], [], [0]
         for b in have.to_batches():
             for one in text.slices(b, "text", 1 << 20):
@@ -296,7 +299,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
         if not keys or not pair.num_rows:
             return
         keys, offs = np.concatenate(keys), np.array(offs)
-        tokens, code = np.unique(np.concatenate(codes), return_inverse=True)
+        code, tokens = pd.factorize(np.concatenate(codes))
+        code = code.astype(np.int32)
         by = np.argsort(keys)
         a, b = (by[np.searchsorted(keys, pair[c].to_numpy(), sorter=by)] for c in ("a", "b"))
         order = np.argsort(a, kind="stable")
