@@ -37,7 +37,7 @@ from .store import discard, stored, table
 
 N, THRESHOLD = 2, 0.7
 #: Counters that order the shingles; bytes of index records for a task, and of texts that share a salt; records of a shingle in a range; ids to broadcast.
-BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 21, 12 << 20, 24 << 20, 1 << 15, 1 << 20
+BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 24, 12 << 20, 24 << 20, 1 << 15, 1 << 20
 _CHUNK = 1 << 16
 #: What a record takes in a payload, a column at a time. Of a shingle 32 bits go with its range (others that share them give candidates that
 #: don't stand verification); of the one before it, which drops a pair, 48.
@@ -70,18 +70,19 @@ def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
 def ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
     """For each counter a rank from rare to frequent (eight times the logarithm of its count), and the number of shingles of all documents.
 
-    Counts are summed in two levels, so that no task reads the counts of all others.
+    Counts are summed in two levels, so that no task reads the counts of all others; one task's count for more than 65535 as that.
     """
 
     def count(batches):
         total = np.zeros(BUCKETS, np.uint32)
         for whole in batches:
             for b in text.slices(whole, "text", 1 << 20):
-                at = np.sort((sets(b.column("text"))[0] >> text.U(43)).astype(np.uint32))
+                at = np.sort((sets(b.column("text"))[0] >> text.U(65 - BUCKETS.bit_length())).astype(np.uint32))
                 first = np.flatnonzero(np.append(len(at) > 0, at[1:] != at[:-1]))
                 total[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
-        if total.any():
-            yield batch(dict(enumerate(total.astype("<i8").reshape(-1, _CHUNK))))
+        for k, c in enumerate(total.reshape(-1, _CHUNK)):
+            if c.any():
+                yield batch({k: np.minimum(c, 0xFFFF).astype("<u2")})
 
     def batch(total):
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
@@ -90,7 +91,8 @@ def ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(c.as_buffer(), "<i8")
+                raw = c.as_buffer()
+                total[k] = total.get(k, 0) + np.frombuffer(raw, "<u2" if raw.size == 2 * _CHUNK else "<i8").astype("<i8")
         if total:
             yield batch(total)
 
@@ -109,7 +111,7 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
     h, offs = sets(batch.column("text"))
     size = np.diff(offs)
     row = text.owners(offs)
-    often = rank[(h >> text.U(43)).astype(np.int64)]
+    often = rank[(h >> text.U(65 - BUCKETS.bit_length())).astype(np.int64)]
     order = (often.astype(text.U) << text.U(56)) | (h >> text.U(8))
     by = np.argsort(order, kind="stable")
     by = by[np.argsort(row[by].astype(np.int32), kind="stable")]
