@@ -10,12 +10,11 @@ position filter, and are taken where the shingles before differ. A shingle that
 salted: its records are cut in blocks, and each pair of blocks is a range of its own, so that no task gets all of them.
 
 Documents of equal sets are one class, represented by its least doc_id. Group pairs are expanded to pairs of classes (and classes of
-one group among each other), which are verified exactly on the whole sets: pairs of a family of candidates, cut in blocks
+one group among each other); a histogram of each set's hashes gives an upper bound of the overlap and drops most chance pairs; the rest are verified exactly on the whole sets: pairs of a family of candidates, cut in blocks
 of about twice ``BLOCK_BYTES`` of text at most, go to one task with the text of each class once.
 
-``pairs`` gives each pair of similar classes once, by their representatives, doc_a < doc_b, and each other member of a class with its
-representative, at 1.0: all pairs of documents follow, and copies aren't expanded. ``filter_stage`` keeps
-one document of each connected group.
+``linked`` gives one row for each document that has a copy or a link to a similar class, with its connected group and the number of both; ``similar`` has
+the links. ``filter_stage`` keeps one document of each connected group.
 
 Defined cases: rows without an id, or with one that is no whole number, are in no pair; so are texts without words; a text of fewer
 than ``N`` words is one shingle; repeated rows count once; a document is never paired with itself; of equal least ids, the class of
@@ -38,11 +37,11 @@ from .store import discard, stored, table
 N, THRESHOLD = 2, 0.7
 #: Counters that order the shingles; bytes of index records for a task, and of texts that share a salt; records of a shingle in a range; ids to broadcast.
 BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 24, 12 << 20, 24 << 20, 1 << 15, 1 << 20
-_CHUNK = 1 << 16
+_CHUNK = 1 << 18
 #: What a record takes in a payload, a column at a time. Of a shingle 32 bits go with its range (others that share them give candidates that
 #: don't stand verification); of the one before it, which drops a pair, 48.
 _RECORD = np.dtype([("token", "<u4"), ("low", "<u4"), ("high", "<u2"), ("group", "<u8"), ("size", "<u4"), ("at", "<u4")])
-_MEMBER = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("print", "<u8"), ("group", "<u8"), ("bytes", "<u4"), ("pad", "<u4")])
+_MEMBER = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("print", "<u8"), ("group", "<u8"), ("bytes", "<u4"), ("size", "<u4"), ("bins", "<u8")])
 
 
 def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +95,26 @@ def ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
         if total:
             yield batch(total)
 
-    chunks, schema = BUCKETS // _CHUNK, "chunk int, counts binary"
-    some = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % 64).repartition(chunks, "chunk", "part").select("chunk", "counts").mapInArrow(add, schema)
+    def last(batches):
+        for b in add(batches):
+            for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
+                c = np.frombuffer(c.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(255, np.log2(np.maximum(c, 1)) * 8).astype(np.uint8).tobytes()], pa.binary()), pa.array([int(c.sum())])], ["chunk", "rank", "n"])
+
+    schema = "chunk int, counts binary"
+    some = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % 64).repartition("chunk", "part").select("chunk", "counts").mapInArrow(add, schema)
     rank, n = np.zeros(BUCKETS, np.uint8), 0
-    for r in some.repartition(chunks, "chunk").mapInArrow(add, schema).toLocalIterator():
-        c = np.frombuffer(bytes(r.counts), "<i8")
-        rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.minimum(255, np.log2(np.maximum(c, 1)) * 8)
-        n += int(c.sum())
+    for r in some.repartition("chunk").mapInArrow(last, "chunk int, rank binary, n long").collect():
+        rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(bytes(r.rank), np.uint8)
+        n += r.n
     return rank, n
 
 
+def bins(n: np.ndarray) -> np.ndarray:
+    """Histogram cells of a set of n, a power of two."""
+    return np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2, n / 4))).astype(np.int64), 0)
+
+
 def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: float) -> pa.RecordBatch:
     """Index records and members of a slice, packed by the task they go to."""
     h, offs = sets(batch.column("text"))
@@ -155,12 +164,18 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
     member["doc"], member["hash"] = text.ids(batch, "doc_id")[full], text.ids(batch, "hash")[full]
     member["print"], member["group"] = prints(h, offs)[full], group[full]
     member["bytes"] = np.minimum(np.diff(text.raw(batch.column("text"))[1])[full], 0xFFFFFFFF)
+    member["size"], member["bins"] = size[full], bins(size[full])
+    coffs = np.concatenate([[0], np.cumsum(bins(size))])
+    hist = np.bincount(coffs[:-1][row] + ((h >> text.U(18)).astype(np.int64) & (bins(size)[row] - 1)), minlength=coffs[-1])
+    hist = np.minimum(255, hist).astype(np.uint8).tobytes()
     mto = (member["print"] >> text.U(24)).astype(np.int64) % parts
     by = np.argsort(mto, kind="stable")
-    member, mcut = member[by], np.searchsorted(mto[by], np.arange(parts + 1))
+    member, mcut, cells = member[by], np.searchsorted(mto[by], np.arange(parts + 1)), coffs[full[by]].tolist()
+    ends = coffs[full[by] + 1].tolist()
+    join = lambda a, b: b"".join(hist[x:y] for x, y in zip(cells[a:b], ends[a:b], strict=True))
     columns = {f: np.ascontiguousarray(record[f]) for f in _RECORD.names}
     out_to = np.flatnonzero((np.diff(cut) > 0) | (np.diff(mcut) > 0))
-    out = [np.array([cut[k + 1] - cut[k]], "<u8").tobytes() + b"".join(columns[f][cut[k] : cut[k + 1]].tobytes() for f in _RECORD.names) + member[mcut[k] : mcut[k + 1]].tobytes() for k in out_to]
+    out = [np.array([cut[k + 1] - cut[k], mcut[k + 1] - mcut[k]], "<u8").tobytes() + b"".join(columns[f][cut[k] : cut[k + 1]].tobytes() for f in _RECORD.names) + member[mcut[k] : mcut[k + 1]].tobytes() + join(mcut[k], mcut[k + 1]) for k in out_to]
     return pa.RecordBatch.from_arrays([pa.array(out_to.astype(np.int32)), pa.array(out, pa.binary())], ["part", "payload"])
 
 
@@ -212,11 +227,12 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
             for b in text.slices(whole, "text", 1 << 20):
                 yield packed(b, shared.value, parts, hot, t)
 
-    names = ["pair", "a", "b", "doc_id", "hash", "bytes"]
+    names = ["pair", "a", "b", "doc_id", "hash", "bytes", "size", "hist"]
 
-    def rows(pair, a, b, member=None):
+    def rows(pair, a, b, member=None, hist=None):
         n = len(a)
-        extra = [pa.nulls(n, pa.int64())] * 3 if member is None else [pa.array(member[c].astype(np.int64)) for c in ("doc", "hash", "bytes")]
+        extra = [pa.nulls(n, pa.int64())] * 4 if member is None else [pa.array(member[c].astype(np.int64)) for c in ("doc", "hash", "bytes", "size")]
+        extra.append(pa.nulls(n, pa.binary()) if hist is None else pa.array(hist, pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, pair)), pa.array(a.astype(text.U).view(np.int64)), pa.array(b.astype(text.U).view(np.int64)), *extra], names)
 
     def join(batches):
@@ -224,27 +240,50 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
         for batch in batches:
             for k, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
                 raw = payload.as_buffer()
-                n = int(np.frombuffer(raw, "<u8", 1)[0])
-                record, at = np.empty(n, _RECORD), 8
+                n, m = (int(x) for x in np.frombuffer(raw, "<u8", 2))
+                record, at = np.empty(n, _RECORD), 16
                 for f in _RECORD.names:
                     record[f] = np.frombuffer(raw, _RECORD[f], n, at)
                     at += n * _RECORD[f].itemsize
                 held.setdefault(k, []).append(record)
-                member = np.frombuffer(raw, _MEMBER, offset=at)
-                if len(member):
-                    yield rows(False, member["print"], member["group"], member)
+                member = np.frombuffer(raw, _MEMBER, m, at)
+                if m:
+                    ends = (at + m * _MEMBER.itemsize + np.cumsum(member["bins"].astype(np.int64))).tolist()
+                    cells = raw.to_pybytes()
+                    yield rows(False, member["print"], member["group"], member, [cells[s:e] for s, e in zip([at + m * _MEMBER.itemsize, *ends[:-1]], ends, strict=True)])
         for k in list(held):
             for pair in joined(np.concatenate(held.pop(k)), t):
                 yield rows(True, pair[:, 0], pair[:, 1])
 
-    both = stored(docs.mapInArrow(pack, "part int, payload binary").repartition(parts, "part").mapInArrow(join, "pair boolean, a long, b long, doc_id long, hash long, bytes long"), "groups")
+    both = stored(docs.mapInArrow(pack, "part int, payload binary").repartition(parts, "part").mapInArrow(join, "pair boolean, a long, b long, doc_id long, hash long, bytes long, size long, hist binary"), "groups")
     found = both.where("pair").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
     members = both.where("not pair").select(F.col("a").alias("print"), "doc_id", "hash")
-    classes = both.where("not pair").groupBy(F.col("a").alias("print")).agg(F.first("b").alias("group"), F.max("bytes").alias("bytes"), F.min(F.struct("doc_id", "hash")).alias("first"))
+    classes = both.where("not pair").groupBy(F.col("a").alias("print")).agg(F.first("b").alias("group"), F.max("bytes").alias("bytes"), F.first("size").alias("size"), F.first("hist").alias("hist"), F.min(F.struct("doc_id", "hash")).alias("first"))
     return found, stored(classes, "classes"), members
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+def bounded(pairs: DataFrame, t: float) -> DataFrame:
+    """The pairs (a, b, na, nb, ha, hb) whose histograms allow enough overlap: a, b. A full cell allows anything."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            need = least_overlap(na, nb, t)
+            for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                if x.max() == 255 or y.max() == 255:
+                    keep[i] = True
+                    continue
+                n = min(len(x), len(y))
+                x, y = (v if len(v) == n else v.reshape(-1, n).sum(0, dtype=np.uint16) for v in (x, y))
+                keep[i] = np.minimum(x, y).sum(dtype=np.int64) >= need[i]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """a, b (prints), jaccard of the pairs (a < b) that reach the threshold.
 
     A family is the pairs of equal labels, the least class up to three steps away (so that a text seldom goes to several); of the
@@ -263,10 +302,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
     keyed = stored(keyed.join(salts, "family", "left").select(F.xxhash64("family", F.least(salt("a"), salt("b")), F.greatest(salt("a"), salt("b"))).alias("block"), "a", "b"), "keyed")
     need = keyed.select("block", F.col("a").alias("print")).unionByName(keyed.select("block", F.col("b").alias("print"))).distinct()
     first = classes.select("print", "first.doc_id", "first.hash")
-    wanted = stored(need.select("print").distinct().join(first, "print").select("doc_id", "hash"), "wanted")
-    # Where an id repeats with the hash of its text, any one of the rows will do.
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
-    sent = texts.join(need.join(first, "print"), ["doc_id", "hash"]).select("block", F.col("print").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    need = stored(need.join(first, "print"), "need")
+    wanted = docs.join(F.broadcast(need) if need.count() <= MOST_IDS else need, ["doc_id", "hash"])
+    again = members.groupBy("doc_id", "hash").count().where("count > 1")
+    if not again.join(need, ["doc_id", "hash"], "left_semi").isEmpty():
+        wanted = wanted.dropDuplicates(["block", "print"])  # a row that is repeated goes once
+    sent = wanted.select("block", F.col("print").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = keyed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
 
     def verify(batches):
@@ -291,7 +332,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
         have, pair = whole.filter(is_text), whole.filter(pc.invert(is_text)).select(["a", "b"])
         parts.clear()
         del whole
-        keys, codes, offs = [], [], [0]
+        keys, codes, offs = [], [], [0]  # a key may come twice, from a row that is repeated
         for b in have.to_batches():
             for one in text.slices(b, "text", 1 << 20):
                 h, o = sets(one.column("text"))
@@ -322,7 +363,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) ->
 
     checked = rows.repartition("block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long, jaccard double")
     out = stored(checked, "similar")
-    for done in (label, keyed, wanted):
+    for done in (label, keyed, need):
         discard(done)
     return out
 
@@ -331,23 +372,33 @@ def similar(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]
     """Verified pairs of classes (prints a, b, jaccard), the classes, and their members."""
     docs = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where("doc_id is not null")
     groups, classes, members = candidates(docs, t)
-    left, right = (classes.select(F.col("group").alias(f"g{x}"), F.col("print").alias(f"p{x}")) for x in "ab")
-    across = groups.join(left, "ga").join(right, "gb").select("pa", "pb")
-    within = left.join(right, (F.col("ga") == F.col("gb")) & (F.col("pa") < F.col("pb"))).select("pa", "pb")
-    pairs = stored(across.unionByName(within).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")), "pairs")
-    out = verified(pairs, classes, docs, t)
+    left, right = (classes.select(F.col("group").alias(f"g{x}"), F.col("print").alias(f"p{x}"), F.col("size").alias(f"n{x}"), F.col("hist").alias(f"h{x}")) for x in "ab")
+    across = groups.join(left, "ga").join(right, "gb").drop("ga", "gb")
+    within = left.join(right, (F.col("ga") == F.col("gb")) & (F.col("pa") < F.col("pb"))).drop("ga", "gb")
+    both = across.unionByName(within).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "na", "nb", "ha", "hb")
+    pairs = stored(bounded(both, t), "pairs")
+    out = verified(pairs, classes, members, docs, t)
     discard(pairs)
     return out, classes, members
 
 
-def pairs(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """doc_a, doc_b, jaccard of the representatives of similar classes, and of each other member of a class and its representative."""
+def linked(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, links, copies of every document that has any.
+
+    ``class_id`` is the least doc_id of its connected group; ``links`` counts the classes of other sets that are similar, ``copies`` the other
+    documents of its own set. A document of several texts has a row for each set.
+    """
     found, classes, members = similar(docs, t)
-    first = classes.select("print", F.col("first.doc_id").alias("first"))
-    near = found.join(first.select(F.col("print").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
-    same = members.select("print", F.col("doc_id").alias("y")).distinct().join(first.withColumnRenamed("first", "x"), "print").select("x", "y", F.lit(1.0).alias("jaccard"))
-    out = near.select("x", "y", "jaccard").unionByName(same).where("x <> y")
-    return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    root = components(found.select("a", "b"))
+    both = found.select("a").unionByName(found.select(F.col("b").alias("a")))
+    degree = both.groupBy(F.col("a").alias("print")).agg(F.count("*").alias("links"))
+    own = members.select("print", "doc_id").distinct()
+    size = own.groupBy("print").agg(F.count("*").alias("size"))
+    known = classes.select("print", F.col("first.doc_id").alias("first")).join(size, "print").join(degree, "print", "left").where("size > 1 or links > 0")
+    known = known.join(root.select(F.col("v").alias("print"), "root"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    ids = known.groupBy("root").agg(F.min("first").alias("class_id"))
+    known = known.join(ids, "root").select("print", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), (F.col("size") - 1).alias("copies"))
+    return own.join(known, "print").select("doc_id", "class_id", "links", "copies")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,7 +431,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(table(spark, sf_dir, "documents"))
+    return linked(table(spark, sf_dir, "documents"))
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -410,11 +461,15 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 ORACLE = rf"""
-WITH d AS (SELECT DISTINCT doc_id, {SQL_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, {SQL_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 e AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {N - 1}, 1) + 1), lambda i: array_to_string(w[i:i+{N - 1}], ' ')))) AS l FROM d WHERE len(w) > 0),
-k AS (SELECT doc_id, l, min(doc_id) OVER (PARTITION BY l) AS rep FROM e),
+k AS (SELECT doc_id, l, min(doc_id) OVER (PARTITION BY l) AS rep, count(*) OVER (PARTITION BY l) - 1 AS copies FROM e),
 s AS (SELECT doc_id, len(l) AS n, unnest(l) AS s FROM k WHERE doc_id = rep),
-p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS c, any_value(x.n) AS a, any_value(y.n) AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(c / (a + b - c), 6) AS jaccard FROM p WHERE c / (a + b - c) >= {THRESHOLD}
-UNION ALL SELECT rep, doc_id, 1.0 FROM k WHERE doc_id <> rep
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c WHERE c / (na + nb - c) >= {THRESHOLD}),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a),
+g AS (SELECT v, min(w) AS root FROM r GROUP BY v),
+n AS (SELECT a, count(*) AS links FROM u GROUP BY a)
+SELECT doc_id, coalesce(root, rep) AS class_id, coalesce(links, 0) AS links, copies FROM k LEFT JOIN g ON v = rep LEFT JOIN n ON n.a = rep WHERE copies > 0 OR links > 0
 """

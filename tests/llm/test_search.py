@@ -47,10 +47,25 @@ def brute_pairs(rows, t):
     return sorted(out)
 
 
+def links(spark, rows):
+    """As ``brute_pairs``, from the operator's parts."""
+    found, classes, members = jaccard.similar(make(spark, rows), jaccard.THRESHOLD)
+    first = {r.print: r.first.doc_id for r in classes.collect()}
+    out = {(*sorted((first[r.a], first[r.b])), round(r.jaccard, 6)) for r in found.collect()}
+    return sorted(out | {(first[r.print], r.doc_id, 1.0) for r in members.collect() if first[r.print] != r.doc_id})
+
+
 def test_jaccard_join_is_exact(spark, tiny):
     rows = corpus(spark, tiny, [(20_000 + k, "same short text") for k in range(40)] + [(30_000, "same short")])
-    got = sorted((r.doc_a, r.doc_b, r.jaccard) for r in jaccard.pairs(make(spark, rows)).collect())
-    assert got == brute_pairs(rows, jaccard.THRESHOLD) and len([x for x in got if x[0] == 20_000]) == 39
+    want = brute_pairs(rows, jaccard.THRESHOLD)
+    assert links(spark, rows) == want
+    got = {r.doc_id: r for r in jaccard.linked(make(spark, rows)).collect()}
+    ids = {i for a, b, _ in want for i in (a, b)}
+    assert set(got) == ids and got[20_007].copies == 39 and got[20_007].links == 0 and got[20_007].class_id == 20_000
+    kept = first_of_each_group(rows)
+    assert {r.class_id for r in got.values()} == ids & set(kept)
+    for i, r in got.items():
+        assert r.links == sum(j < 1 and i in (a, b) for a, b, j in want) or r.copies
 
 
 def test_hot_shingles_and_large_families_are_cut_in_blocks(spark, monkeypatch):
@@ -58,15 +73,15 @@ def test_hot_shingles_and_large_families_are_cut_in_blocks(spark, monkeypatch):
     rows = [(k, " ".join([*base[: k % 7], f"u{k}", f"v{k}", *base[k % 7 + 2 :]])) for k in range(70)] + [(100 + k, prose(k, 50)) for k in range(40)]
     want = brute_pairs(rows, jaccard.THRESHOLD)
     assert len(want) > 2000
-    for name, value in (("HOT", 1 << 15), ("HOT", 7), ("BLOCK_BYTES", 9000), ("TASK_BYTES", 20_000)):
+    assert links(spark, rows) == want
+    for name, value in (("HOT", 7), ("BLOCK_BYTES", 9000), ("TASK_BYTES", 20_000)):
         monkeypatch.setattr(jaccard, name, value)
-        got = [(r.doc_a, r.doc_b, r.jaccard) for r in jaccard.pairs(make(spark, rows)).collect()]
-        assert sorted(got) == want
+    assert links(spark, rows) == want
 
 
 def test_jaccard_join_edge_cases(spark, edge, empty):
-    assert [tuple(r) for r in jaccard.pairs(edge).collect()] == [(5, 6, 1.0)]
-    assert jaccard.pairs(empty).collect() == []
+    assert sorted(map(tuple, jaccard.linked(edge).collect())) == [(5, 5, 0, 1), (6, 5, 0, 1)]
+    assert jaccard.linked(empty).collect() == []
 
 
 def test_jaccard_stage_keeps_one_of_each_group(spark, edge, empty, tiny):
