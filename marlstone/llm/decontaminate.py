@@ -14,7 +14,8 @@ The items are broadcast in slices of at most ``SLICE``; more items mean more pas
 the documents. Documents are not shuffled.
 
 Defined cases: null ids are dropped; a null or empty text has no shingles and matches
-nothing; an item of fewer than ``N`` words is too short to be evidence and never reported;
+nothing; an item of ``SHORTEST`` to N - 1 words is one shingle of all its words, sought among the documents' runs of as many words
+(containment 1); a shorter one is no evidence and never reported; ties can't occur; texts of any length are searched whole;
 repeated rows count once, empty tables give no rows, other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import text
 from .store import table
 
-N, THRESHOLD = 5, 0.5
+N, SHORTEST, THRESHOLD = 5, 3, 0.5
 HASHES, SMALLEST = 48, 8
 SLICE = 50_000
 _A = np.random.default_rng(7).integers(1, 2**63, HASHES, dtype=np.uint64) * text.U(2) + text.U(1)
@@ -47,12 +48,30 @@ def shingled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, so
 
 
+def runs(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's runs of k words, and their rows."""
+    data, offs = text.raw(texts, lower=True)
+    starts, ends, woffs = text.words(data, offs)
+    h, so = text.shingles(text.word_hashes(data, starts, ends), woffs, k)
+    row = text.owners(so)
+    on = (np.diff(woffs) >= k)[row]
+    return h[on], row[on]
+
+
 class Index:
     """Items by size class: their minima per band, a bit table before them, and their shingles."""
 
     def __init__(self, item_ids: np.ndarray, texts: pa.Array):
         self.ids = item_ids
         self.h, self.offs = text.distinct(*shingled(texts))
+        n_words = np.diff(text.words(*text.raw(texts, lower=True))[2])
+        self.short = {}
+        for k in range(SHORTEST, N):
+            own = np.flatnonzero(n_words == k)
+            if len(own):
+                h, row = runs(texts.take(pa.array(own)), k)
+                order = np.argsort(h, kind="stable")
+                self.short[k] = h[order], own[row[order]]
         size = np.diff(self.offs)
         kind = np.maximum(SMALLEST, 1 << np.ceil(np.log2(np.maximum(1, size))).astype(np.int64))
         self.classes = {}
@@ -71,6 +90,18 @@ class Index:
 
     def search(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, item and containment of verified matches."""
+        parts = [self.long(texts)]
+        for k, (values, items) in self.short.items():
+            h, row = runs(texts, k)
+            lo, hi = np.searchsorted(values, h, "left"), np.searchsorted(values, h, "right")
+            n = hi - lo
+            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.unique(np.repeat(row, n) * len(self.ids) + items[which])
+            parts.append((pair // len(self.ids), pair % len(self.ids), np.ones(len(pair))))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def long(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the items of N words and more."""
         h, offs = shingled(texts)
         if not len(h) or not self.classes:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -179,7 +210,9 @@ WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i+{N - 1}], ' '))) AS s FROM d WHERE len(w) >= {N}),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i+{N - 1}], ' '))) AS s FROM b WHERE len(w) >= {N}),
-n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
-SELECT item_id, doc_id, round(count(*) / any_value(n), 6) AS containment
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+few AS (SELECT DISTINCT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM b WHERE len(w) BETWEEN {SHORTEST} AND {N - 1}),
+fs AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d, (SELECT DISTINCT k FROM few) WHERE len(w) >= k)
+SELECT item_id, doc_id, 1.0 AS containment FROM few JOIN fs USING (k, s) UNION ALL SELECT item_id, doc_id, round(count(*) / any_value(n), 6) AS containment
 FROM bs JOIN ds USING (s) JOIN n USING (item_id) GROUP BY item_id, doc_id HAVING count(*) / any_value(n) >= {THRESHOLD}
 """

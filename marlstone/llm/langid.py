@@ -1,11 +1,12 @@
 """Language ID: a bidirectional gated recurrent network over bytes that labels every position, pooled to documents.
 
-A text is cut into windows of ``SPAN`` bytes, which both directions read from zero states, so that the
+A text is cut into windows of ``SPAN`` bytes with ``WARM`` more on either side, where there are, which both directions read from zero states; the labels
+of the bytes outside the window, read to bring the states up to it, are left out. So the
 windows of all rows of a slice go side by side through the network, one byte of each at a time, whatever the lengths. Each byte
 gets a softmax over the languages from both states; a document's probabilities
 are the means over all its bytes, its language the largest (ties: the first by name). The
 network is trained in numpy by backpropagation through time on windows of up to ``SAMPLE`` labelled
-documents of each language (by hash of the id), every position with its document's label, with Adam.
+documents of each language (by hash of the id), every position with its document's label, with Adam; a text shorter than a training window is repeated in it.
 
 Defined cases: a null or empty text has a null language, probability and share; where no row has a label, all have; with one
 language, that one has probability 1; null ids are kept; repeated rows are labelled alike; an empty table gives no
@@ -17,12 +18,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text
 from .store import table
 
-HIDDEN, SPAN = 8, 128
+HIDDEN, SPAN, WARM = 8, 128, 16
 #: Documents of a language and windows of a document that training sees; its steps, windows in each, and their length.
 SAMPLE, PIECES, STEPS, BATCH, LENGTH = 250, 6, 160, 384, 64
 
@@ -90,8 +92,7 @@ def train(texts: pa.Array, labels: np.ndarray, classes: int, seed: int = 5) -> d
     p = fresh(classes, rng)
     data, offs = text.raw(texts)
     size = np.diff(offs)
-    long_ = np.flatnonzero(size >= LENGTH)
-    by = [long_[labels[long_] == c] for c in range(classes)]
+    by = [np.flatnonzero((labels == c) & (size > 0)) for c in range(classes)]
     able = [c for c in range(classes) if len(by[c])]
     if not able:
         return p
@@ -99,8 +100,8 @@ def train(texts: pa.Array, labels: np.ndarray, classes: int, seed: int = 5) -> d
     for k in range(1, STEPS + 1):
         rows = np.concatenate([rng.choice(by[c], BATCH // len(able) + 1) for c in able])
         piece = rng.integers(0, PIECES, len(rows)) / max(1, PIECES - 1)
-        start = offs[:-1][rows] + ((size[rows] - LENGTH) * piece).astype(np.int64)
-        _, g = gradients(p, data[start + np.arange(LENGTH)[:, None]], labels[rows])
+        start = (np.maximum(0, size[rows] - LENGTH) * piece).astype(np.int64)
+        _, g = gradients(p, data[offs[:-1][rows] + (start + np.arange(LENGTH)[:, None]) % size[rows]], labels[rows])
         rate = 0.02 * min(1.0, 2.2 - 2 * k / STEPS)
         for w in p:
             m[w], v[w] = 0.9 * m[w] + 0.1 * g[w], 0.99 * v[w] + 0.01 * g[w] * g[w]
@@ -124,14 +125,18 @@ def pooled(data: np.ndarray, offs: np.ndarray, p: dict, lanes: int = 4096) -> tu
     count = -(-size // SPAN)
     row = np.repeat(np.arange(len(size)), count)
     start = offs[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * SPAN
-    length = np.minimum(SPAN, offs[1:][row] - start)
+    first_out = np.minimum(WARM, start - offs[:-1][row])
+    last_out = first_out + np.minimum(SPAN, offs[1:][row] - start)
+    start = start - first_out
+    length = np.minimum(last_out + WARM, offs[1:][row] - start)
     order = np.argsort(-length, kind="stable")
     mass, votes = np.zeros((len(row), classes), np.float32), np.zeros((len(row), classes), np.float32)
-    padded = np.concatenate([data, np.zeros(SPAN, np.uint8)])
+    padded = np.concatenate([data, np.zeros(SPAN + 2 * WARM, np.uint8)])
     h_ = HIDDEN
     for at in range(0, len(order), lanes):
         own = order[at : at + lanes]
         n, steps = len(own), int(length[own[0]])
+        lo, hi = first_out[own], last_out[own]
         x = np.ascontiguousarray(padded[start[own] + np.arange(steps)[:, None]])
         active = np.searchsorted(-length[own], -np.arange(steps), "left")
         logits = np.empty((steps, n, classes), np.float32)
@@ -163,10 +168,12 @@ def pooled(data: np.ndarray, offs: np.ndarray, p: dict, lanes: int = 4096) -> tu
                     out += hk @ v
                     out += p["bias"]
                     best = out.max(1, keepdims=True)
-                    sum_v[:k] += out == best
+                    here = ((t >= lo[:k]) & (t < hi[:k]))[:, None]
+                    sum_v[:k] += (out == best) & here
                     out -= best
                     np.exp(out, out=out)
                     out /= out.sum(1, keepdims=True)
+                    out *= here
                     sum_p[:k] += out
         mass[own], votes[own] = sum_p, sum_v
     first = np.cumsum(count) - count
@@ -180,14 +187,13 @@ def pooled(data: np.ndarray, offs: np.ndarray, p: dict, lanes: int = 4096) -> tu
 
 def model(docs: DataFrame) -> tuple[list[str], dict]:
     """Languages, and weights trained on a sample of labelled rows."""
-    langs = sorted(r.lang for r in docs.where("lang is not null and length(text) > 0").groupBy("lang").count().collect())
-    picked = None
-    for x in langs:
-        part = docs.where((F.col("lang") == x) & F.col("doc_id").isNotNull()).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
+    known = docs.where("lang is not null and doc_id is not null and length(text) > 0").select("doc_id", "lang").distinct()
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = known.withColumn("turn", turn).where(F.col("turn") <= SAMPLE).drop("turn")  # each task passes on SAMPLE rows of a language at most
+    langs = sorted(r.lang for r in picked.select("lang").distinct().collect())
+    if not langs:
         return [], {}
-    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(picked), ["doc_id", "lang"]).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     index = {x: k for k, x in enumerate(langs)}
     return langs, train(rows["text"].combine_chunks(), np.array([index[x] for x in rows["lang"].to_pylist()]), len(langs))
 

@@ -351,12 +351,12 @@ def decode(ids: np.ndarray, ioffs: np.ndarray, v: Vocabulary) -> list[bytes]:
     return out
 
 
-SCHEMA = "doc_id long, n_pieces int, score double, ids array<int>, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,pieces:array<int>>>>>"
+SCHEMA = "doc_id long, n_pieces int, score double, whole boolean, ids array<int>, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,pieces:array<int>>>>>"
 _EDITS = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("pieces", pa.list_(pa.int32()))])))]))
 
 
 def encoded(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
-    """doc_id, n_pieces, score, ids, alternatives of every row."""
+    """doc_id, n_pieces, score, whole, ids, alternatives of every row; whole: the ids, decoded, are the text, byte by byte."""
 
     def run(batches):
         v, cache = vocabulary(path), {}
@@ -369,7 +369,10 @@ def encoded(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
                 if none.any():
                     ids = pc.if_else(pa.array(~none), ids, pa.scalar(None, ids.type))
                 alts = pa.array([None if x else [{"score": s, "edits": [{"at": p, "drop": q, "pieces": w} for p, q, w in e]} for s, e in a] for x, a in zip(none, got["alternatives"], strict=True)], _EDITS)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts.astype(np.int32), mask=none), pa.array(np.round(got["score"], 6), mask=none), ids, alts], ["doc_id", "n_pieces", "score", "ids", "alternatives"])
+                data, offs = text.raw(b.column("text"))
+                back, ends = b"".join(decode(got["ids"], got["ioffs"], v)), offs.tolist()
+                whole_ = [back[s:e] == data[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts.astype(np.int32), mask=none), pa.array(np.round(got["score"], 6), mask=none), pa.array(whole_, mask=none), ids, alts], ["doc_id", "n_pieces", "score", "whole", "ids", "alternatives"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

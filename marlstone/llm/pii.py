@@ -1,6 +1,6 @@
 """Personal data: a linear-chain conditional random field over word-shape features, decoded by Viterbi in numpy batches.
 
-Tokens are runs of bytes that aren't ASCII white space, parted at delimiters that no entity holds (quotes, brackets, commas and the
+Tokens are runs of bytes that aren't ASCII white space, parted at delimiters that no entity holds (quotes, brackets, commas, colons, slashes and the
 like, where something follows), between characters of three bytes or more and others, and, beyond ``LONG`` bytes, at
 all other punctuation that no entity holds. A token's shape is the tuple of
 quantised counts of digits, letters, capitals and punctuation kinds in it, whether it is all hexadecimal, and
@@ -18,6 +18,7 @@ decoded alike; empty tables give no rows; other columns are carried along or ign
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def _marks(chars: bytes) -> np.ndarray:
 
 
 #: Bytes that part what is on both sides of them; those that may stand with them; and those that part only what is longer than ``LONG``.
-_PARTS, _WITH, _PARTS_LONG, LONG = _marks(b"\"'{}[]<>,;&|`\\?="), _marks(b":"), _marks(b":/!*$#%^~()'=,"), 255
+_PARTS, _WITH, _PARTS_LONG, LONG = _marks(b"\"'{}[]<>,;&|`\\?=:/"), _marks(b""), _marks(b":/!*$#%^~()'=,"), 255
 _OPENS = _EDGE | _marks(b"+(")
 
 
@@ -183,7 +184,7 @@ def labelled_table(seed: int = 11) -> list[tuple[int, int, str, str]]:
             got = r.choice(([(f"+{digits(1)}", "PHONE"), (f"({digits(3)})", "I-PHONE"), (f"{digits(3)}-{digits(4)}", "I-PHONE")],) * 3 + ([(f"({digits(3)})", "PHONE"), (f"{digits(3)}-{digits(4)}", "I-PHONE")], [(f"{digits(3)}-{digits(3)}-{digits(4)}", "PHONE")], [(f"+{digits(2)}-{digits(3)}-{digits(7)}", "PHONE")], [(f"+{digits(11)}", "PHONE")]))
         elif kind == "SECRET":
             h = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64))))
-            got = r.choice(([(r.choice(_TRIGGERS), "SECRET"), ("=", "I-SECRET"), (f'"{h}"', "I-SECRET")],) * 3 + ([(h, "SECRET")], [(f'"{h}"', "SECRET")]))
+            got = r.choice(([(r.choice(_TRIGGERS), "SECRET"), ("=", "I-SECRET"), (f'"{h}"', "I-SECRET")],) * 3 + ([(r.choice(_TRIGGERS), "SECRET"), (h, "I-SECRET")], [(h, "SECRET")], [(f'"{h}"', "SECRET")]))
         else:
             got = [(f"{digits(3)}-{digits(2)}-{digits(4)}", "SSN")]
         if up:
@@ -331,6 +332,12 @@ def train(rows: list[tuple[int, int, str, str]]) -> tuple:
     return theta[0].astype(np.float32), theta[1].astype(np.float32), theta[2].astype(np.float32)
 
 
+@lru_cache(1)
+def fitted() -> tuple:
+    """The model of the labelled table, fitted once for each driver."""
+    return train(labelled_table())
+
+
 def find(texts: pa.Array, model: tuple) -> tuple[np.ndarray, ...]:
     """Row, byte start, byte end (within the slice), kind of every span; and the slice's bytes and offsets."""
     data, offs = text.raw(texts)
@@ -377,12 +384,12 @@ def spans(docs: DataFrame, model: tuple) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(table(spark, sf_dir, "documents"), train(labelled_table()))
+    return spans(table(spark, sf_dir, "documents"), fitted())
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each span replaced by its kind in brackets, and n_chars (if there is one) as it then is."""
-    shared = spark.sparkContext.broadcast(train(labelled_table()))
+    shared = spark.sparkContext.broadcast(fitted())
     names = docs.columns
 
     def run(batches):

@@ -1,7 +1,7 @@
 """Tables written in the cluster's shared folder: lineage is cut there, and a lost executor costs nothing.
 
-The folder is ``spark.checkpoint.dir``. Where it is unset, as in tests on one machine,
-a folder under the working directory's ``spark-warehouse`` is set.
+The folder is ``spark.checkpoint.dir``. Where it is unset, a session of one machine
+gets a folder under the working directory's ``spark-warehouse``; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared(spark: SparkSession) -> str:
     """The shared folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.abspath("spark-warehouse/shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -5,7 +5,7 @@ are no tags; void elements have no subtree; an unclosed element ends with its pa
 can't hold the next tag, as a paragraph in a paragraph). The hash of a
 subtree is that of its bytes without white space, from one prefix sum for a whole batch. Spark counts, for
 each host and hash, in how many different pages (by the hash of the whole page, so that copies of a page
-count once) it occurs; subtrees in ``LEAST_PAGES`` or more are the host's template. In a second scan the outermost
+count once) it occurs; subtrees in ``LEAST_PAGES`` or more, and at least ``LEAST_SHARE`` of the host's pages, are the host's template. In a second scan the outermost
 template subtrees are deleted. A copied page body stays: a subtree in less than ``COPIED`` of the host's different pages that holds
 more than ``MOST_SHARE`` of the page's text; in it, the subtrees that are in ``COPIED`` or more of them are deleted. The hashes to delete are broadcast up to ``MOST_KEYS``; beyond, they
 are joined to the subtrees of the pages, and by page.
@@ -13,7 +13,7 @@ are joined to the subtrees of the pages, and by page.
 Inline elements (links, bold and the like) are judged only as parts of what holds them.
 Defined cases: a null or empty page has an empty text and nothing removed; a url without a host is of
 host ''; rows with a null page_id are dropped; repeated rows come out repeated; an empty table gives no
-rows; other columns are ignored.
+rows; a page of any length is scanned whole, in about 60 bytes of memory for each of its bytes; counts that tie with a threshold reach it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import text
 from .store import stored, table
 
-LEAST_PAGES, MOST_SHARE, COPIED, MOST_KEYS = 3, 0.5, 0.05, 4 << 20
+LEAST_PAGES, LEAST_SHARE, MOST_SHARE, COPIED, MOST_KEYS = 3, 0.002, 0.5, 0.05, 4 << 20
 _TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S)
 _VOID = frozenset(b"area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(b"a abbr b bdi bdo cite code data em font i kbd mark q s samp small span strong sub sup time tt u var label title".split())
@@ -138,7 +138,7 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = once.groupBy("key", "site").agg(F.count("*").alias("pages")).where((F.col("pages") >= LEAST_PAGES) | (F.col("key") == F.col("site")))
     counted = stored(counted, "counted")
     sites = counted.where("key = site").select("site", F.col("pages").alias("all"))
-    return counted.where("key <> site").join(sites, "site").select("key", (F.col("pages") < COPIED * F.col("all")).alias("rare"))
+    return counted.where("key <> site").join(sites, "site").where(F.col("pages") >= LEAST_SHARE * F.col("all")).select("key", (F.col("pages") < COPIED * F.col("all")).alias("rare"))
 
 
 def cleaned(pages: DataFrame, doomed) -> DataFrame:
@@ -164,7 +164,7 @@ def cleaned(pages: DataFrame, doomed) -> DataFrame:
                                 continue
                             if size is None:
                                 size = max(1, len(_ANY.sub(b"", page)))
-                            if e - s > 256 and len(_ANY.sub(b"", page[s:e])) > MOST_SHARE * size and name not in _RAW:
+                            if len(_ANY.sub(b"", page[s:e])) > MOST_SHARE * size and name not in _RAW:
                                 body = e
                                 continue
                         until = e

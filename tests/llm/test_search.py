@@ -133,16 +133,17 @@ def test_containment_is_found_in_long_documents(spark, tiny):
         at = 37 * k
         base = prose(k, 6000).split()
         rows.append((50_000 + k, " ".join(base[:at] + part + base[at:])))
-    bench = spark.createDataFrame([*items, (900, "too short"), (901, None), (902, ""), (None, items[0][1])], "item_id long, text string")
+    rows += [(51_000, "some words, four short Words here"), (51_001, "nearly four short words"), (51_002, "Three words yes"), (51_003, "four short words")]
+    bench = spark.createDataFrame([*items, (800, "Four short words here!"), (801, "four short words here"), (802, "three words yes"), (900, "too short"), (901, None), (902, ""), (None, items[0][1])], "item_id long, text string")
     got = {(r.item_id, r.doc_id): r.containment for r in decontaminate.matches(make(spark, rows), bench).collect()}
-    want = {}
+    want = {(800, 51_000): 1.0, (801, 51_000): 1.0, (802, 51_002): 1.0}
     for i, x in items:
         s = grams(x, decontaminate.N)
         if len(words(x)) >= decontaminate.N:
             for d, y in rows:
                 if len(words(y)) >= decontaminate.N and (v := len(s & grams(y, decontaminate.N)) / len(s)) >= decontaminate.THRESHOLD:
                     want[i, d] = round(v, 6)
-    assert got == want and len([k for k in want if k[1] >= 50_000]) >= len(items)
+    assert got == want and len([k for k in want if k[1] >= 50_000]) >= len(items) + 3
 
 
 def test_containment_edge_cases(spark, edge, empty, tiny):
