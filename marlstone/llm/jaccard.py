@@ -24,7 +24,6 @@ the least hash comes first; texts of any length are compared whole; empty tables
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -342,6 +341,8 @@ def verified(pairs: DataFrame, classes: DataFrame, members: DataFrame, docs: Dat
         if not keys or not pair.num_rows:
             return
         keys, offs = np.concatenate(keys), np.array(offs)
+        import pandas as pd  # in workers only
+
         code, tokens = pd.factorize(np.concatenate(codes))
         code = code.astype(np.int32)
         by = np.argsort(keys)

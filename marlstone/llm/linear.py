@@ -4,24 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 
+_PART = 1 << 20
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def fit(index: np.ndarray, value: np.ndarray, offs: np.ndarray, y: np.ndarray, dim: int, l2: float, rounds: int = 80, rate: float = 0.3, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on rows given as (index, value) with offsets; rows may be empty."""
-    row = np.repeat(np.arange(len(y)), np.diff(offs))
+    """Weights and bias by full-batch Adam on rows given as (index, value) with offsets; rows may be empty.
+
+    Items are gone through in ranges of ``_PART``, so that what a round needs beside the table is small.
+    """
+    index, value = index.astype(np.int32, copy=False), value.astype(np.float32, copy=False)
+    cuts = [0]
+    while cuts[-1] < len(y):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offs, offs[cuts[-1]] + _PART, "right")) - 1))
     w, b = np.zeros(dim), 0.0
     m, v, mb, vb = np.zeros(dim), np.zeros(dim), 0.0, 0.0
     share = np.ones(len(y)) if weight is None else weight
     share = share / share.sum()
     for k in range(1, rounds + 1):
-        z = np.bincount(row, value * w[index], len(y)) + b
-        g = (sigmoid(z) - y) * share
-        gw = np.bincount(index, value * g[row], dim) + l2 * w
-        gb = g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
+        gw, gb = l2 * w, 0.0
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            at, x = index[offs[i] : offs[j]], value[offs[i] : offs[j]]
+            row = np.repeat(np.arange(j - i), np.diff(offs[i : j + 1]))
+            z = np.bincount(row, x * w[at], j - i) + b
+            g = (sigmoid(z) - y[i:j]) * share[i:j]
+            gw += np.bincount(at, x * g[row], dim)
+            gb += g.sum()
+        m *= 0.9
+        m += 0.1 * gw
+        v *= 0.99
+        gw *= gw
+        v += 0.01 * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate / (1 + 3 * k / rounds)
         w -= step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)

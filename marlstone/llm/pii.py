@@ -183,7 +183,8 @@ def labelled_table(seed: int = 11) -> list[tuple[int, int, str, str]]:
         elif kind == "PHONE":
             got = r.choice(([(f"+{digits(1)}", "PHONE"), (f"({digits(3)})", "I-PHONE"), (f"{digits(3)}-{digits(4)}", "I-PHONE")],) * 3 + ([(f"({digits(3)})", "PHONE"), (f"{digits(3)}-{digits(4)}", "I-PHONE")], [(f"{digits(3)}-{digits(3)}-{digits(4)}", "PHONE")], [(f"+{digits(2)}-{digits(3)}-{digits(7)}", "PHONE")], [(f"+{digits(11)}", "PHONE")]))
         elif kind == "SECRET":
-            h = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64))))
+            marks = r.choice(("0123456789abcdef",) * 3 + ("0123abcdefabcdef",))
+            h = "".join(r.choice(marks) for _ in range(r.choice((32, 40, 40, 64))))
             got = r.choice(([(r.choice(_TRIGGERS), "SECRET"), ("=", "I-SECRET"), (f'"{h}"', "I-SECRET")],) * 3 + ([(r.choice(_TRIGGERS), "SECRET"), (h, "I-SECRET")], [(h, "SECRET")], [(f'"{h}"', "SECRET")]))
         else:
             got = [(f"{digits(3)}-{digits(2)}-{digits(4)}", "SSN")]

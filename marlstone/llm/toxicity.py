@@ -11,7 +11,7 @@ the id); near copies in it count once.
 
 Defined cases: a null or empty text has probability 0 and is not toxic; repeated rows are
 scored alike; an empty table gives no rows; where labels lack a class nothing is toxic;
-other columns are carried along or ignored.
+of windows with equal margins all count as the worst one; texts of any length are read whole; other columns are carried along or ignored.
 """
 
 from __future__ import annotations
@@ -104,18 +104,25 @@ def ranges(offs: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def pair_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's word pairs."""
+    for i, j in ranges(offs):
+        part = data[offs[i] : offs[j]]
+        starts, ends, woffs = text.words(part, offs[i : j + 1] - offs[i])
+        h, so = text.shingles(text.word_hashes(part, starts, ends), woffs, 2)
+        for a, b in zip(so[:-1], so[1:], strict=True):
+            yield np.unique(h[a:b])
+
+
 def unlike(texts: pa.Array) -> np.ndarray:
     """False for near copies: rows whose word pairs have a Jaccard similarity of ``COPY`` at least with those of an earlier row that is kept.
 
     Kept rows of which a quarter of the min-hashes are equal are candidates (of copies practically all); they are verified exactly.
     """
     data, offs = text.raw(texts, lower=True)
-    starts, ends, woffs = text.words(data, offs)
-    h, so = text.shingles(text.word_hashes(data, starts, ends), woffs, 2)
     keep = np.ones(len(offs) - 1, bool)
     signs, kept, n = np.zeros((len(keep), len(_MINS)), np.uint64), [], 0
-    for i in range(len(keep)):
-        own = np.unique(h[so[i] : so[i + 1]])
+    for i, own in enumerate(pair_sets(data, offs)):
         if not len(own):
             continue
         sign = np.array([(own * c).min() for c in _MINS])
@@ -158,7 +165,7 @@ def train_windows(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Table of weights and bias, from texts of both classes."""
     dim = 1 << BITS
     data, offs = text.raw(texts, lower=True)
-    df = np.zeros((2, dim))
+    df = np.zeros((2, dim), np.int32)
     for i, j in ranges(offs):
         part, row_of = data[offs[i] : offs[j]], text.owners(offs[i : j + 1])
         for n, h in zip(ORDERS, grams(part), strict=True):
@@ -167,7 +174,7 @@ def train_windows(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, float]:
             pair = np.unique((row[inside] << BITS) | h[inside])
             label = y[i + (pair >> BITS)]
             for c in (0, 1):
-                df[c] += np.bincount(pair[label == c] & (dim - 1), minlength=dim)
+                np.add.at(df[c], pair[label == c] & (dim - 1), 1)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     ratio = np.log((df[1] + 1) / (n1 + 2)) - np.log((df[0] + 1) / (n0 + 2))
     error = np.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1))
@@ -190,13 +197,15 @@ def train_windows(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, float]:
             at = h[start[picked][own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)]
             used = ratio[at] != 0
             index.append(at[used])
-            owner.append(own[used] + len(target))
+            owner.append((own[used] + len(target)).astype(np.int32))
         target.extend(own_y[row[picked]].astype(float))
-    index, owner, target = np.concatenate(index), np.concatenate(owner), np.array(target)
-    order = np.argsort(owner, kind="stable")
-    index, owner = index[order], owner[order]
+    owner, target = np.concatenate(owner), np.array(target)
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    owner = owner[order]
+    index = np.concatenate(index)[order]
+    del order, df, error, suspicious
     share = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
-    w, b = linear.fit(index, ratio[index], np.searchsorted(owner, np.arange(len(target) + 1)), target, dim, 1e-4, rounds=60, rate=0.02, weight=share)
+    w, b = linear.fit(index, ratio.astype(np.float32)[index], np.searchsorted(owner, np.arange(len(target) + 1)), target, dim, 1e-4, rounds=60, rate=0.02, weight=share)
     return (w * ratio).astype(np.float32), b
 
 
@@ -217,7 +226,7 @@ def model(docs: DataFrame, labels: DataFrame) -> tuple:
 
 
 def scored(docs: DataFrame, fitted: tuple) -> DataFrame:
-    """doc_id and text's toxicity (probability of the worst window) for every row, in Arrow batches."""
+    """doc_id and text's toxicity (from its three worst windows) for every row, in Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
