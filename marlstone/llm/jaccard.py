@@ -90,18 +90,18 @@ def ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
         for b in batches:
             for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
                 raw = c.as_buffer()
-                total[k] = total.get(k, 0) + np.frombuffer(raw, "<u2" if raw.size == 2 * _CHUNK else "<i8").astype("<i8")
+                total[k] = total.get(k, 0) + np.frombuffer(raw, f"<u{raw.size // _CHUNK}").astype("<u8")
         if total:
-            yield batch(total)
+            yield batch({k: c.astype("<u4") if c.max() < 1 << 32 else c for k, c in total.items()})
 
     def last(batches):
         for b in add(batches):
             for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
-                c = np.frombuffer(c.as_buffer(), "<i8")
+                c = np.frombuffer(c.as_buffer(), f"<u{c.as_buffer().size // _CHUNK}").astype("<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(255, np.log2(np.maximum(c, 1)) * 8).astype(np.uint8).tobytes()], pa.binary()), pa.array([int(c.sum())])], ["chunk", "rank", "n"])
 
     schema = "chunk int, counts binary"
-    some = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % 64).repartition("chunk", "part").select("chunk", "counts").mapInArrow(add, schema)
+    some = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % 8).repartition("chunk", "part").select("chunk", "counts").mapInArrow(add, schema)
     rank, n = np.zeros(BUCKETS, np.uint8), 0
     for r in some.repartition("chunk").mapInArrow(last, "chunk int, rank binary, n long").collect():
         rank[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(bytes(r.rank), np.uint8)
