@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import text
-
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in array order, in doubles."""
@@ -19,15 +22,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def counted(texts, dims: int) -> np.ndarray:
+    """For each text how many of its words fall in each bucket; null as empty."""
+    out, bucket = np.zeros((len(texts), dims), np.int32), {}
+    for i, t in enumerate(texts):
+        for w in _WORD.findall(t.lower()) if t else ():
+            if (b := bucket.get(w)) is None:
+                if len(bucket) > 1 << 18:
+                    bucket.clear()
+                b = bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
+            out[i, b] += 1
+    return out
+
+
 def hash_counts(c: Column, dims: int = 32) -> Column:
-    """How many words of a text fall in each of ``dims`` buckets by the first 32 bits of their MD5."""
-    bucket = F.transform(text.words(c), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims)
-    # One pass over the words: a lambda that mentions the buckets would hash all words again for each of its calls.
-    return F.aggregate(bucket, F.array_repeat(F.lit(0), dims), lambda n, b: F.transform(n, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    """How many words of a text fall in each of ``dims`` buckets by the first 32 bits of their MD5; null for null."""
+
+    @F.pandas_udf("array<int>")
+    def counts(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else n for t, n in zip(texts, counted(texts, dims), strict=True)], dtype=object)
+
+    return counts(c)
 
 
 def hash_embedding(c: Column, dims: int = 32) -> Column:
-    """The counts at length 1; zeros for a text without words."""
-    n = hash_counts(c, dims)
-    norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(n, lambda x: x / norm)).otherwise(F.transform(n, lambda x: x.cast("double")))
+    """The counts at length 1; zeros for a text without words, null for null."""
+
+    @F.pandas_udf("array<double>")
+    def embedding(texts: pd.Series) -> pd.Series:
+        n = counted(texts, dims).astype(float)
+        n /= np.maximum(1e-300, np.sqrt((n * n).sum(1, keepdims=True)))
+        return pd.Series([None if t is None else x for t, x in zip(texts, n, strict=True)], dtype=object)
+
+    return embedding(c)

@@ -1,38 +1,55 @@
-"""Chunks of documents: overlapping windows in closed form, parents, and texts put together again."""
+"""Chunks of documents: overlapping windows, parents, and texts put together again."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: A chunk's id holds its document's id and its position.
-SPAN = 100_000
+#: A chunk's id holds its document's id and its position; no string has as many chunks of the default size.
+SPAN = 1 << 22
+
+
+def cut(t: str, size: int, overlap: int) -> list[str]:
+    """The chunks of one text. Window k starts at k * (size - overlap) of the trimmed text; all but the last are cut after
+    the last blank line, line end, sentence end or space of their second half, whichever is found first in that order; blank ones are left out."""
+    t, out, start = t.strip(text.BLANKS), [], 0
+    while t:
+        window = t[start : start + size]
+        if start + size < len(t):
+            for needle in ("\n\n", "\n", ". ", " "):
+                at = window.rfind(needle)
+                if at >= size // 2:
+                    window = window[: at + len(needle)]
+                    break
+        if window := window.strip(text.BLANKS):
+            out.append(window)
+        if start + size >= len(t):
+            break
+        start += size - overlap
+    return out
 
 
 def chunk(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """chunk_id, doc_id, position, content. Window k starts at k * (size - overlap) of the trimmed text; all but the last
-    are cut after the last blank line, line end, sentence end or space of their second half, whichever is found first in that order."""
+    """chunk_id, doc_id, position, content, as ``cut`` has it, a whole Arrow batch at a time; null and blank texts have no chunks, equal
+    rows have equal chunks, and a null doc_id gives null ids."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap from 0 to less than size")
-    step = size - overlap
-    d = docs.select("doc_id", text.trim("text").alias("t")).withColumn("n", F.length("t")).where("n > 0")
-    last_k = F.when(F.col("n") <= size, 0).otherwise(F.ceil((F.col("n") - size) / step)).cast("int")
-    w = d.withColumn("k", F.explode(F.sequence(F.lit(0), last_k)))
-    w = w.select("doc_id", "k", F.expr(f"substr(t, k * {step} + 1, {size})").alias("win"), (F.col("k") * step + size >= F.col("n")).alias("final"))
-    cut = None
-    back = F.reverse("win")
-    for needle in ("\n\n", "\n", ". ", " "):
-        found = F.locate(needle[::-1], back)
-        at = F.length("win") - found - len(needle) + 1
-        end = F.when((found > 0) & (at >= size // 2), at + len(needle))
-        cut = end if cut is None else F.coalesce(cut, end)
-    content = F.when(F.col("final"), F.col("win")).otherwise(F.expr("substr(win, 1, cut)"))
-    out = w.withColumn("cut", F.coalesce(cut, F.lit(size))).select("doc_id", "k", text.trim(content).alias("content")).where("content <> ''")
-    position = (F.row_number().over(W.partitionBy("doc_id").orderBy("k")) - 1).cast("int")
-    return out.select("doc_id", position.alias("position"), "content").select((F.col("doc_id") * SPAN + F.col("position")).alias("chunk_id"), "doc_id", "position", "content")
+
+    def run(batches):
+        for b in batches:
+            parts = [cut(t, size, overlap) if t else [] for t in b.column("text").to_pylist()]
+            n = np.array([len(p) for p in parts], np.int64)
+            own = b.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            position = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([own, pa.array(position.astype(np.int32)), pa.array([x for p in parts for x in p], pa.string())], ["doc_id", "position", "content"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = d.mapInArrow(run, "doc_id long, position int, content string")
+    return out.select((F.col("doc_id") * SPAN + F.col("position")).alias("chunk_id"), "doc_id", "position", "content")
 
 
 def in_order(by: str, what: str) -> F.Column:

@@ -19,6 +19,9 @@ NOISE = frozenset("aside button canvas footer form iframe nav noscript option sc
 BLOCKS = frozenset("article blockquote br div header hr li main ol p pre section table tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HEADING = re.compile("h[1-6]$")
+#: What can't hold an element ends where it begins.
+_CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup")}
+_CLOSES |= {k: ("p",) for k in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 
 
 def decode_email(code: str | None) -> str:
@@ -32,13 +35,16 @@ def decode_email(code: str | None) -> str:
 
 
 class _Page(HTMLParser):
+    """A stack of the open elements; an end tag closes all that is open in its element, a stray one nothing."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.title: list[str] = []
         self.links: list[str] = []
-        self.noise, self.in_title, self.seen_title, self.hidden = 0, False, False, 0
-        self.headings: list[int] = []
+        self.in_title = self.seen_title = False
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, whether it is noise, whether it hides its text, where its text begins
+        self.noise = self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -46,19 +52,18 @@ class _Page(HTMLParser):
             self.links.append(a["href"])
         if tag == "title":
             self.in_title = not self.seen_title
-        if tag in NOISE:
-            self.noise += 1
-        if self.noise:
-            return
-        if address := decode_email(a.get("data-cfemail")):
+        if self.open and self.open[-1][0] in _CLOSES.get(tag, ()):
+            self._close(len(self.open) - 1)
+        address = "" if self.noise or tag in NOISE else decode_email(a.get("data-cfemail"))
+        if address:
             self.out.append(address)
-            self.hidden += tag not in _VOID
-        elif self.hidden and tag not in _VOID:
-            self.hidden += 1
-        if _HEADING.match(tag):
-            self.headings.append(len(self.out))
-        elif tag in _VOID and tag in BLOCKS:
-            self.out.append("\n")
+        if tag in _VOID:
+            if tag in BLOCKS and not self.noise:
+                self.out.append("\n")
+            return
+        self.open.append((tag, tag in NOISE, bool(address), len(self.out)))
+        self.noise += tag in NOISE
+        self.hidden += bool(address)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -68,18 +73,22 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title, self.seen_title = False, True
-        if tag in NOISE:
-            self.noise = max(0, self.noise - 1)
-            return
-        if self.noise or tag in _VOID:
-            return
-        if self.hidden:
-            self.hidden -= 1
-        if _HEADING.match(tag) and self.headings:
-            at = self.headings.pop()
-            self.out[at:] = ["\n", "".join(self.out[at:]).strip(), "\n"]
-        elif tag in BLOCKS:
-            self.out.append("\n")
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                self._close(i)
+                return
+
+    def _close(self, i):
+        while len(self.open) > i:
+            tag, noise, hides, at = self.open.pop()
+            self.noise -= noise
+            self.hidden -= hides
+            if noise or self.noise:
+                continue
+            if _HEADING.match(tag):
+                self.out[at:] = ["\n", "".join(self.out[at:]).strip(), "\n"]
+            elif tag in BLOCKS:
+                self.out.append("\n")
 
     def handle_data(self, data):
         if self.in_title:
@@ -93,6 +102,7 @@ def parse(html: str | None) -> tuple[str | None, str, list[str]]:
     p = _Page()
     p.feed(html or "")
     p.close()
+    p._close(0)
     body = re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", re.sub("\r\n?", "\n", "".join(p.out))))
     return "".join(p.title).strip() or None, body.strip(" \t\n\r\0\x0b"), p.links
 
@@ -118,13 +128,19 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def sitemap(xml: DataFrame, most: int = 50) -> DataFrame:
-    """ord, url: the locations of site maps (column xml), normalised, first occurrences, ``most`` at most."""
-    loc = F.posexplode(F.xpath("xml", F.lit("//*[local-name()='url' or local-name()='sitemap']/*[local-name()='loc']/text()")))
+    """ord, url: the pages that site maps (map_id, xml) list, normalised, first occurrences, ``most`` at most; see ``child_maps`` for an index of maps."""
+    loc = F.posexplode(F.xpath("xml", F.lit("//*[local-name()='url']/*[local-name()='loc']/text()")))
     found = xml.select("map_id", loc.alias("pos", "loc")).withColumn("url", urls.normalize(F.trim("loc"))).where("url is not null")
     first = found.groupBy("url").agg(F.min(F.struct("map_id", "pos")).alias("at"))
     return first.withColumn("ord", F.row_number().over(W.orderBy("at"))).where(F.col("ord") <= most).select("ord", "url")
 
 
+def child_maps(xml: DataFrame) -> DataFrame:
+    """map_id, url: the further site maps that an index of maps lists, each once; they are fetched and read by ``sitemap`` in their turn."""
+    loc = F.explode(F.xpath("xml", F.lit("//*[local-name()='sitemap']/*[local-name()='loc']/text()")))
+    return xml.select("map_id", loc.alias("loc")).select("map_id", urls.normalize(F.trim("loc")).alias("url")).where("url is not null").distinct()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, cut=None) -> DataFrame:
     """node, depth: nodes up to ``max_depth`` edges (source, target) from the seeds (node), by their shortest distance.
 

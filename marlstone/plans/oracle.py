@@ -97,7 +97,7 @@ _CTE: dict[str, tuple[str, str]] = {
     "windows": ("trimmed", "SELECT doc_id, t, n, unnest(range(0, CASE WHEN n <= 1000 THEN 1 ELSE CAST(ceil((n - 1000) / 800.0) AS BIGINT) + 1 END)) AS k FROM trimmed"),
     "seen": ("windows", "SELECT doc_id, k, substr(t, k * 800 + 1, 1000) AS win, k * 800 + 1000 >= n AS final FROM windows"),
     "pieces": ("seen", f"SELECT doc_id, k, {_TRIM(f'CASE WHEN final THEN win ELSE substr(win, 1, {_cut()}) END')} AS content FROM seen"),
-    "chunks": ("pieces", "SELECT doc_id * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS position, content FROM pieces WHERE content <> ''"),
+    "chunks": ("pieces", "SELECT doc_id * 4194304 + row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS position, content FROM pieces WHERE content <> ''"),
     "questions": ("", "SELECT item_id AS query_id, text AS question FROM benchmark"),
     "sums": ("", "SELECT doc_id, source, text, sha256(text) AS checksum FROM documents WHERE text IS NOT NULL"),
     "pair_scores": ("", "SELECT q.vec_id AS query_id, v.vec_id AS item_id, q.label AS ql, v.label AS vl, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings q, embeddings v"),
@@ -189,15 +189,15 @@ def statements() -> dict[str, str]:
         "keyword_search": ("kw", "SELECT query_id, chunk_id, matched, score FROM kw"),
         "hash_vector_search": ("vec", "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM vec WHERE ord = 0"),
         "hybrid_merge": ("matches", "SELECT query_id, chunk_id, score, via, rank FROM matches"),
-        "metadata_filter": ("best chunks", "SELECT query_id, chunk_id, score, via, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, r, chunk_id) AS INTEGER) AS rank FROM best WHERE chunk_id // 100000 IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE rank <= 5"),
-        "authorize": ("matches", "SELECT query_id, chunk_id, score, rank FROM matches WHERE chunk_id // 100000 NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
+        "metadata_filter": ("best chunks", "SELECT query_id, chunk_id, score, via, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, r, chunk_id) AS INTEGER) AS rank FROM best WHERE chunk_id // 4194304 IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE rank <= 5"),
+        "authorize": ("matches", "SELECT query_id, chunk_id, score, rank FROM matches WHERE chunk_id // 4194304 NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
         "lexical_rerank": ("matches chunks qterms", _RERANK.format("SELECT query_id, chunk_id, round(score + least(0.3, 0.05 * len(list_filter(terms, lambda t: contains(lower(content), t)))), 6) AS score, rank AS was FROM matches JOIN chunks USING (chunk_id) JOIN qterms USING (query_id)")),
         "entity_boost": ("matches chunks ents", _RERANK.format("SELECT query_id, chunk_id, round(score + CASE WHEN len(list_filter(e, lambda t: contains(lower(content), t))) > 0 THEN 0.1 ELSE 0.0 END, 6) AS score, rank AS was FROM matches JOIN chunks USING (chunk_id) JOIN ents USING (query_id)")),
         "retrieval_trace": ("matches", "SELECT query_id, count(*) FILTER (via = 'vector') AS by_vector, count(*) FILTER (via = 'keyword') AS by_keyword, round(max(score), 4) AS best FROM matches GROUP BY 1"),
         "expand_neighbors": ("matches near top_of_doc", """SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY stage, was, chunk_id) AS INTEGER) AS rank FROM (
             SELECT query_id, chunk_id, score, 0 AS stage, rank AS was FROM matches UNION ALL
             SELECT n.query_id, n.chunk_id, round(t.best * 0.9, 6), 1, 0 FROM near n JOIN top_of_doc t USING (query_id, doc_id) WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.query_id = n.query_id AND m.chunk_id = n.chunk_id))) WHERE rank <= 10"""),
-        "expand_parents": ("matches", "SELECT query_id, chunk_id // 100000 AS doc_id, (chunk_id % 100000) // 4 AS parent, round(arg_max(score, rank) * 0.95, 6) AS score FROM matches GROUP BY 1, 2, 3"),
+        "expand_parents": ("matches", "SELECT query_id, chunk_id // 4194304 AS doc_id, (chunk_id % 4194304) // 4 AS parent, round(arg_max(score, rank) * 0.95, 6) AS score FROM matches GROUP BY 1, 2, 3"),
         "compress_budget": ("matches chunks", "SELECT query_id, chunk_id, score, rank, CAST(used AS BIGINT) AS used FROM (SELECT query_id, chunk_id, score, rank, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM matches JOIN chunks USING (chunk_id)) WHERE used <= 2500 OR rank = 1"),
         "prompt_context": ("matches chunks questions", f"""SELECT query_id, CASE WHEN context IS NULL THEN 'Context:' || chr(10) || '(no relevant documents found)' || chr(10) || chr(10) || 'Question: ' || question
             ELSE '{GUARD.strip()}' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question END AS prompt
