@@ -9,6 +9,12 @@ sent to one task for each range, which joins them in numpy: pairs of groups must
 position filter, and are taken where the shingles before differ. A shingle that the counts show to be in more than ``HOT`` records is
 salted: its records are cut in blocks, and each pair of blocks is a range of its own, so that no task gets all of them.
 
+Where the groups of a shingle would be in more than ``DENSE`` pairs each, as in a large family of near copies, the groups are noted rather than
+their pairs, so that what is written grows with the members of a family and not with their square. Such lists that share groups make a
+family; its texts go to one task, or to one for each pair of salts if they have more than ``FAMILY_BYTES``, which compares all of them
+exactly and returns each class's number of links and edges that connect what is linked. Two classes of several common families
+are compared in the least.
+
 Documents of equal sets are one class, represented by its least doc_id. Group pairs are expanded to pairs of classes (and classes of
 one group among each other); a histogram of each set's hashes gives an upper bound of the overlap and drops most chance pairs; the rest are verified exactly on the whole sets: pairs of a family of candidates, cut in blocks
 of about twice ``BLOCK_BYTES`` of text at most, go to one task with the text of each class once.
@@ -23,6 +29,8 @@ the least hash comes first; texts of any length are compared whole; empty tables
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +44,8 @@ from .store import discard, stored, table
 N, THRESHOLD = 2, 0.7
 #: Counters that order the shingles; bytes of index records for a task, and of texts that share a salt; records of a shingle in a range; ids to broadcast.
 BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 24, 12 << 20, 24 << 20, 1 << 15, 1 << 20
+#: Pairs for each group of a shingle from which its groups are a family; bytes of a family's texts that share a salt.
+DENSE, FAMILY_BYTES = 16, 6 << 20
 _CHUNK = 1 << 18
 #: What a record takes in a payload, a column at a time. Of a shingle 32 bits go with its range (others that share them give candidates that
 #: don't stand verification); of the one before it, which drops a pair, 48.
@@ -179,7 +189,7 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
 
 
 def joined(record: np.ndarray, t: float, most: int = 1 << 20):
-    """Distinct pairs of groups of one task's records, a part at a time."""
+    """Of one task's records, a part at a time: distinct pairs of groups, and lists (number, group) of groups that are dense."""
     record = record[np.lexsort((record["group"], record["size"], record["token"]))]
     token, group = record["token"], record["group"]
     keep = np.ones(len(record), bool)
@@ -208,13 +218,25 @@ def joined(record: np.ndarray, t: float, most: int = 1 << 20):
             rest = np.minimum(a["size"] - a["at"], b["size"] - b["at"])
             ok = (rest >= least_overlap(a["size"], b["size"], t)) & (a["group"] != b["group"]) & other
             ok &= ~((a["low"] == b["low"]) & (a["high"] == b["high"]) & (a["at"] > 0) & (b["at"] > 0))
-            a, b = a["group"][ok], b["group"][ok]
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            a, b, of = a["group"][ok], b["group"][ok], block[i[ok]]
+            first = np.flatnonzero(np.append(len(of) > 0, of[1:] != of[:-1]))
+            ends = np.append(first[1:], len(of))
+            few, dense = np.ones(len(of), bool), [np.zeros((0, 2), text.U)]
+            for k in np.flatnonzero(ends - first > 2 * DENSE * DENSE):  # fewer pairs can't be dense
+                s, e = first[k], ends[k]
+                groups = np.unique(np.concatenate([a[s:e], b[s:e]]))
+                if e - s > DENSE * len(groups):
+                    few[s:e] = False
+                    number = text.mix(np.array([record["token"][i[ok][s]]], text.U) + text.U(0x9E3779B97F4A7C15 * (at + 1) % 2**64))
+                    dense.append(np.stack([np.repeat(number, len(groups)), groups], axis=1))
+            a, b = a[few], b[few]
+            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0), np.concatenate(dense)
         at = to
 
 
-def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of groups (ga, gb); the classes: print, group, bytes, and the least doc_id with its text's hash; the members: print, doc_id, hash."""
+def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pairs of groups (ga, gb); dense lists of groups (list, group); the classes: print, group, bytes, and the least doc_id with its text's hash;
+    the members: print, doc_id, hash."""
     spark = docs.sparkSession
     rank, shingle_count = ranks(docs)
     parts = max(4, int(shingle_count * (1.05 - t) * _RECORD.itemsize / TASK_BYTES))
@@ -226,13 +248,13 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
             for b in text.slices(whole, "text", 1 << 20):
                 yield packed(b, shared.value, parts, hot, t)
 
-    names = ["pair", "a", "b", "doc_id", "hash", "bytes", "size", "hist"]
+    names = ["kind", "a", "b", "doc_id", "hash", "bytes", "size", "hist"]
 
-    def rows(pair, a, b, member=None, hist=None):
+    def rows(kind, a, b, member=None, hist=None):  # kind: 0 member, 1 pair, 2 list
         n = len(a)
         extra = [pa.nulls(n, pa.int64())] * 4 if member is None else [pa.array(member[c].astype(np.int64)) for c in ("doc", "hash", "bytes", "size")]
         extra.append(pa.nulls(n, pa.binary()) if hist is None else pa.array(hist, pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, pair)), pa.array(a.astype(text.U).view(np.int64)), pa.array(b.astype(text.U).view(np.int64)), *extra], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a.astype(text.U).view(np.int64)), pa.array(b.astype(text.U).view(np.int64)), *extra], names)
 
     def join(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -249,16 +271,35 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
                 if m:
                     ends = (at + m * _MEMBER.itemsize + np.cumsum(member["bins"].astype(np.int64))).tolist()
                     cells = raw.to_pybytes()
-                    yield rows(False, member["print"], member["group"], member, [cells[s:e] for s, e in zip([at + m * _MEMBER.itemsize, *ends[:-1]], ends, strict=True)])
+                    yield rows(0, member["print"], member["group"], member, [cells[s:e] for s, e in zip([at + m * _MEMBER.itemsize, *ends[:-1]], ends, strict=True)])
         for k in list(held):
-            for pair in joined(np.concatenate(held.pop(k)), t):
-                yield rows(True, pair[:, 0], pair[:, 1])
+            for pair, dense in joined(np.concatenate(held.pop(k)), t):
+                yield rows(1, pair[:, 0], pair[:, 1])
+                yield rows(2, dense[:, 0], dense[:, 1])
+
+    both = stored(docs.mapInArrow(pack, "part int, payload binary").repartition(parts, "part").mapInArrow(join, "kind int, a long, b long, doc_id long, hash long, bytes long, size long, hist binary"), "groups")
+    found = both.where("kind = 1").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
+    dense = both.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("group"))
+    members = both.where("kind = 0").select(F.col("a").alias("print"), "doc_id", "hash")
+    classes = both.where("kind = 0").groupBy(F.col("a").alias("print")).agg(F.first("b").alias("group"), F.max("bytes").alias("bytes"), F.first("size").alias("size"), F.first("hist").alias("hist"), F.min(F.struct("doc_id", "hash")).alias("first"))
+    return found, dense, stored(classes, "classes"), members
 
-    both = stored(docs.mapInArrow(pack, "part int, payload binary").repartition(parts, "part").mapInArrow(join, "pair boolean, a long, b long, doc_id long, hash long, bytes long, size long, hist binary"), "groups")
-    found = both.where("pair").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
-    members = both.where("not pair").select(F.col("a").alias("print"), "doc_id", "hash")
-    classes = both.where("not pair").groupBy(F.col("a").alias("print")).agg(F.first("b").alias("group"), F.max("bytes").alias("bytes"), F.first("size").alias("size"), F.first("hist").alias("hist"), F.min(F.struct("doc_id", "hash")).alias("first"))
-    return found, stored(classes, "classes"), members
+
+def families(dense: DataFrame, classes: DataFrame) -> DataFrame:
+    """group, families (sorted) of the groups in dense lists, and of those of many classes.
+
+    All groups of a list have its family in common: the least group that it is connected with by a few lists (however many steps are taken,
+    no pair of a list is lost).
+    """
+    crowded = classes.groupBy("group").count().where(F.col("count") > 2 * DENSE).select(F.col("group").alias("list"), "group")
+    lists = stored(dense.unionByName(crowded).distinct(), "lists")
+    family = lists.groupBy("list").agg(F.min("group").alias("family"))
+    for _ in range(2):
+        near = lists.join(family, "list").groupBy("group").agg(F.min("family").alias("family"))
+        family = lists.join(near, "group").groupBy("list").agg(F.min("family").alias("family"))
+    out = stored(lists.join(family, "list").groupBy("group").agg(F.array_sort(F.collect_set("family")).alias("families")), "families")
+    discard(lists)
+    return out
 
 
 def bounded(pairs: DataFrame, t: float) -> DataFrame:
@@ -282,10 +323,68 @@ def bounded(pairs: DataFrame, t: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """a, b (prints), jaccard of the pairs (a < b) that reach the threshold.
+def compared(keys: np.ndarray, codes: np.ndarray, offs: np.ndarray, side: np.ndarray, less: list, t: float, whole: bool) -> Iterator[tuple]:
+    """(a, b, jaccard, links) of a block of a family, arrays or None: pairs if ``whole``, else each key's links, and edges that connect what is linked.
 
-    A family is the pairs of equal labels, the least class up to three steps away (so that a text seldom goes to several); of the
+    ``side``: 0, or 1 and 2 where only sets of two sides are compared. ``less``: the other families of each set that have its pairs.
+    """
+    n = len(keys)
+    size, row = np.diff(offs), text.owners(offs)
+    often = np.bincount(codes, minlength=1) > 1  # a shingle of one set is in no overlap
+    codes, row = codes[often[codes]], row[often[codes]]
+    by = np.argsort(size, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by] = np.arange(n)
+    order = np.argsort(place[row], kind="stable")
+    codes, row = codes[order], place[row][order]
+    on = np.unique(row)  # sets with a shingle in common with another one
+    by = by[on]
+    offs = np.append(np.searchsorted(row, on), len(row))
+    keys, size, side, less = keys[by], size[by], side[by], [less[k] for k in by]
+    elsewhere: dict[int, list[int]] = {}
+    for k, ids in enumerate(less):
+        for f in ids:
+            elsewhere.setdefault(f, []).append(k)
+    to = np.searchsorted(size, np.floor(size / t + 1e-9), "right")
+    seen = np.zeros(len(often), np.int32)
+    links, label, edges = np.zeros(len(by), np.int64), np.arange(len(by)), []
+    for k in range(len(by)):
+        if (z := int(to[k])) <= k + 1:
+            continue
+        mine = codes[offs[k] : offs[k + 1]]
+        seen[mine] = 1
+        same = np.add.reduceat(seen.take(codes[offs[k + 1] : offs[z]]), offs[k + 1 : z] - offs[k + 1])
+        seen[mine] = 0
+        j = same / (size[k] + size[k + 1 : z] - same)
+        good = j >= t
+        if side[k]:
+            good &= side[k + 1 : z] != side[k]
+        for f in less[k]:
+            other = np.array(elsewhere[f])
+            good[other[(other > k) & (other < z)] - k - 1] = False
+        at = np.flatnonzero(good)
+        if not len(at):
+            continue
+        if whole:
+            yield np.minimum(keys[k], keys[k + 1 + at]), np.maximum(keys[k], keys[k + 1 + at]), j[at], None
+            continue
+        links[k] += len(at)
+        links[k + 1 + at] += 1
+        root = label[k + 1 + at]
+        if (root != label[k]).any():
+            root = np.unique(np.append(root, label[k]))
+            label[np.isin(label, root)] = root[0]
+            edges.extend((r, root[0]) for r in root[1:])
+    if not whole:
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        yield keys[a], keys[b], None, None
+        yield keys[links > 0], None, None, links[links > 0]
+
+
+def verified(pairs: DataFrame, families: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame, t: float, whole: bool) -> DataFrame:
+    """a, b (prints), jaccard of the pairs (a < b) that reach the threshold; and unless ``whole``, of families only a, links, and edges a, b.
+
+    Of the pairs, a family is those of equal labels, the least class up to three steps away (so that a text seldom goes to several); of the
     texts of a larger family than ``BLOCK_BYTES`` each is salted by hash, and each pair of salts is a block.
     """
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -300,14 +399,21 @@ def verified(pairs: DataFrame, classes: DataFrame, members: DataFrame, docs: Dat
     salt = lambda c: F.pmod(F.xxhash64(c), F.coalesce("salts", F.lit(1)))
     keyed = stored(keyed.join(salts, "family", "left").select(F.xxhash64("family", F.least(salt("a"), salt("b")), F.greatest(salt("a"), salt("b"))).alias("block"), "a", "b"), "keyed")
     need = keyed.select("block", F.col("a").alias("print")).unionByName(keyed.select("block", F.col("b").alias("print"))).distinct()
+    need = need.select("block", "print", F.lit(None).cast("int").alias("side"), F.lit(None).cast("array<long>").alias("less"))
+    each = classes.select("print", "group", "bytes").join(families, "group").select("print", "bytes", "families", F.explode("families").alias("family"))
+    salts = each.groupBy("family").agg(F.ceil(F.sum("bytes") / FAMILY_BYTES).cast("int").alias("salts"))
+    each = each.join(salts, "family").withColumn("salt", F.pmod(F.xxhash64("print"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    side = F.when(F.col("salt") == F.col("other"), 0).when(F.col("salt") < F.col("other"), 1).otherwise(2)
+    block = F.xxhash64(F.lit("family"), "family", F.least("salt", "other"), F.greatest("salt", "other"))
+    need = need.unionByName(each.select(block.alias("block"), "print", side.alias("side"), F.expr("filter(families, x -> x < family)").alias("less")))
     first = classes.select("print", "first.doc_id", "first.hash")
     need = stored(need.join(first, "print"), "need")
     wanted = docs.join(F.broadcast(need) if need.count() <= MOST_IDS else need, ["doc_id", "hash"])
     again = members.groupBy("doc_id", "hash").count().where("count > 1")
     if not again.join(need, ["doc_id", "hash"], "left_semi").isEmpty():
         wanted = wanted.dropDuplicates(["block", "print"])  # a row that is repeated goes once
-    sent = wanted.select("block", F.col("print").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = keyed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
+    sent = wanted.select("block", F.col("print").alias("a"), F.lit(None).cast("long").alias("b"), "side", "less", "text")
+    rows = keyed.select("block", "a", "b").unionByName(sent, allowMissingColumns=True)
 
     def verify(batches):
         now, waiting = None, []
@@ -326,25 +432,35 @@ def verified(pairs: DataFrame, classes: DataFrame, members: DataFrame, docs: Dat
             yield from solved(waiting)
 
     def solved(parts):
-        whole = pa.Table.from_batches(parts).combine_chunks()
-        is_text = whole["text"].is_valid()
-        have, pair = whole.filter(is_text), whole.filter(pc.invert(is_text)).select(["a", "b"])
+        both = pa.Table.from_batches(parts).combine_chunks()
+        is_text = both["text"].is_valid()
+        have, pair = both.filter(is_text), both.filter(pc.invert(is_text)).select(["a", "b"])
         parts.clear()
-        del whole
+        del both
         keys, codes, offs = [], [], [0]  # a key may come twice, from a row that is repeated
+        family = have.num_rows > 0 and have["side"].null_count == 0
         for b in have.to_batches():
             for one in text.slices(b, "text", 1 << 20):
                 h, o = sets(one.column("text"))
                 keys.append(one.column("a").to_numpy())
                 codes.append(h)
                 offs.extend((o[1:] + offs[-1]).tolist())
-        if not keys or not pair.num_rows:
+        if not keys or not (family or pair.num_rows):
             return
         keys, offs = np.concatenate(keys), np.array(offs)
         import pandas as pd  # in workers only
 
         code, tokens = pd.factorize(np.concatenate(codes))
         code = code.astype(np.int32)
+        if family:
+            once = np.sort(np.unique(keys, return_index=True)[1])
+            if len(once) < len(keys):
+                code = np.concatenate([code[offs[k] : offs[k + 1]] for k in once])
+                offs = np.append(0, np.cumsum(np.diff(offs)[once]))
+            less = have["less"].take(pa.array(once)).to_pylist()
+            for found in compared(keys[once], code, offs, have["side"].to_numpy()[once], less, t, whole):
+                yield result(*found)
+            return
         by = np.argsort(keys)
         a, b = (by[np.searchsorted(keys, pair[c].to_numpy(), sorter=by)] for c in ("a", "b"))
         order = np.argsort(a, kind="stable")
@@ -360,39 +476,54 @@ def verified(pairs: DataFrame, classes: DataFrame, members: DataFrame, docs: Dat
             seen[mine] = False
         j = same / (size[a] + size[b] - same)
         good = j >= t
-        yield pa.RecordBatch.from_arrays([pa.array(keys[a[good]]), pa.array(keys[b[good]]), pa.array(j[good])], ["a", "b", "jaccard"])
+        yield result(keys[a[good]], keys[b[good]], j[good], None)
+
+    def result(a, b, j, links):
+        column = lambda x, kind: pa.nulls(len(a), kind) if x is None else pa.array(x, kind)
+        return pa.RecordBatch.from_arrays([pa.array(a), column(b, pa.int64()), column(j, pa.float64()), column(links, pa.int64())], ["a", "b", "jaccard", "links"])
 
-    checked = rows.repartition("block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long, jaccard double")
+    checked = rows.repartition("block").sortWithinPartitions("block").mapInArrow(verify, "a long, b long, jaccard double, links long")
     out = stored(checked, "similar")
     for done in (label, keyed, need):
         discard(done)
     return out
 
 
-def similar(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verified pairs of classes (prints a, b, jaccard), the classes, and their members."""
+def related(docs: DataFrame, t: float, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``verified`` found, the classes, and their members."""
     docs = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where("doc_id is not null")
-    groups, classes, members = candidates(docs, t)
+    groups, dense, classes, members = candidates(docs, t)
+    family = families(dense, classes)
+    one, two = (family.select(F.col("group").alias(f"g{x}"), F.col("families").alias(f"f{x}")) for x in "ab")
+    groups = groups.join(one, "ga", "left").join(two, "gb", "left").where(~F.coalesce(F.arrays_overlap("fa", "fb"), F.lit(False))).drop("fa", "fb")
     left, right = (classes.select(F.col("group").alias(f"g{x}"), F.col("print").alias(f"p{x}"), F.col("size").alias(f"n{x}"), F.col("hist").alias(f"h{x}")) for x in "ab")
     across = groups.join(left, "ga").join(right, "gb").drop("ga", "gb")
-    within = left.join(right, (F.col("ga") == F.col("gb")) & (F.col("pa") < F.col("pb"))).drop("ga", "gb")
+    within = left.join(one, "ga", "left_anti").join(right, (F.col("ga") == F.col("gb")) & (F.col("pa") < F.col("pb"))).drop("ga", "gb")
     both = across.unionByName(within).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "na", "nb", "ha", "hb")
     pairs = stored(bounded(both, t), "pairs")
-    out = verified(pairs, classes, members, docs, t)
+    out = verified(pairs, family, classes, members, docs, t, whole)
     discard(pairs)
+    discard(family)
     return out, classes, members
 
 
+def similar(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified pairs of classes (prints a, b, jaccard), the classes, and their members."""
+    out, classes, members = related(docs, t, True)
+    return out.drop("links"), classes, members
+
+
 def linked(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, links, copies of every document that has any.
 
     ``class_id`` is the least doc_id of its connected group; ``links`` counts the classes of other sets that are similar, ``copies`` the other
     documents of its own set. A document of several texts has a row for each set.
     """
-    found, classes, members = similar(docs, t)
-    root = components(found.select("a", "b"))
-    both = found.select("a").unionByName(found.select(F.col("b").alias("a")))
-    degree = both.groupBy(F.col("a").alias("print")).agg(F.count("*").alias("links"))
+    found, classes, members = related(docs, t, False)
+    root = components(found.where("b is not null").select("a", "b"))
+    pairs = found.where("jaccard is not null")
+    both = pairs.select("a", F.lit(1).alias("links")).unionByName(pairs.select(F.col("b").alias("a"), F.lit(1).alias("links"))).unionByName(found.where("links is not null").select("a", "links"))
+    degree = both.groupBy(F.col("a").alias("print")).agg(F.sum("links").alias("links"))
     own = members.select("print", "doc_id").distinct()
     size = own.groupBy("print").agg(F.count("*").alias("size"))
     known = classes.select("print", F.col("first.doc_id").alias("first")).join(size, "print").join(degree, "print", "left").where("size > 1 or links > 0")
@@ -442,8 +573,8 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows without an id (a whole number), or without words, stay. Decisions are about a row's id and text: another text of the same id stands for
     itself. Rows that repeat an id and its text stay once, the one whose columns have the least hash.
     """
-    found, classes, members = similar(docs, THRESHOLD)
-    roots = components(found.select("a", "b"))
+    found, classes, members = related(docs, THRESHOLD, False)
+    roots = components(found.where("b is not null").select("a", "b"))
     first = classes.join(roots.select(F.col("v").alias("print"), "root"), "print", "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
     kept = first.select("first.doc_id", "first.hash")
     later = stored(members.select("doc_id", "hash").distinct().join(kept, ["doc_id", "hash"], "left_anti"), "later")

@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from .conftest import make, prose
 from marlstone.llm import decontaminate, jaccard, repeats
 
@@ -78,6 +81,38 @@ def test_hot_shingles_and_large_families_are_cut_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(jaccard, name, value)
     assert links(spark, rows) == want
 
+def test_pairs_of_large_families_are_not_listed(spark, monkeypatch):
+    base = prose(8, 120).split()
+    near = [(k, " ".join([*base[: k % 7], f"u{k}", f"v{k}", *base[k % 7 + 2 :]])) for k in range(220)]
+    far = [(1000 + k, " ".join([*base[:40], *prose(k, 12).split(), *base[60:]])) for k in range(40)]
+    copies = [(2000 + k, near[k][1]) for k in range(5)]
+    rows = [*near, *far, *copies, *((3000 + k, prose(k, 50)) for k in range(40))]
+    want = brute_pairs(rows, jaccard.THRESHOLD)
+    docs = make(spark, rows)
+    found, dense, _, _ = jaccard.candidates(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), jaccard.THRESHOLD)
+    assert len(want) > 20_000 and found.count() < len(want) / 8 and dense.count() < len(want)
+    degree = {}
+    for a, b, j in want:
+        if j < 1:
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    got = {r.doc_id: (r.links, r.copies) for r in jaccard.linked(docs).collect()}
+    assert got == {i: (degree.get(i % 2000 if 2000 <= i < 2005 else i, 0), int(i < 5 or 2000 <= i < 2005)) for p in want for i in p[:2]}
+    for name, value in (("DENSE", 1), ("FAMILY_BYTES", 30_000)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert links(spark, rows) == want
+
+
+def test_sets_of_several_families_are_linked_once(monkeypatch):
+    keys, offs = np.array([1, 2, 3, 4]), np.arange(5) * 10
+    codes = np.concatenate([np.arange(10), np.arange(10), np.arange(10), np.arange(50, 60)]).astype(np.int32)
+    less = [[7], [7], [], [7]]
+    got = list(jaccard.compared(keys, codes, offs, np.zeros(4, int), less, 0.7, True))
+    assert sorted((int(a), int(b)) for x, y, _, _ in got for a, b in zip(x, y, strict=True)) == [(1, 3), (2, 3)]
+    edges, ends = jaccard.compared(keys, codes, offs, np.zeros(4, int), less, 0.7, False)
+    assert dict(zip(ends[0].tolist(), ends[3].tolist(), strict=True)) == {1: 1, 2: 1, 3: 2} and len(edges[0]) == 2
+    two = list(jaccard.compared(keys, codes, offs, np.array([1, 1, 2, 2]), [[], [], [], []], 0.7, True))
+    assert sorted((int(a), int(b)) for x, y, _, _ in two for a, b in zip(x, y, strict=True)) == [(1, 3), (2, 3)]
+
 
 def test_jaccard_join_edge_cases(spark, edge, empty):
     assert sorted(map(tuple, jaccard.linked(edge).collect())) == [(5, 5, 0, 1), (6, 5, 0, 1)]
