@@ -582,6 +582,7 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ident = F.expr("try_cast(doc_id as long)")
     marked = docs.withColumn(mark, F.xxhash64("text"))
     gone = later.select(F.col("doc_id").alias(f"{mark}_id"), F.col("hash").alias(f"{mark}_hash"))
+    gone = F.broadcast(gone) if later.count() <= MOST_IDS else gone  # else all texts are shuffled
     out = marked.join(gone, (ident == F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_hash")), "left_anti")
     again = stored(members.groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias(f"{mark}_id"), F.col("hash").alias(f"{mark}_hash")), "again")
     if again.isEmpty():

@@ -144,6 +144,18 @@ def first_of_each_group(rows):
     return sorted(i for i in root if find(i) == i)
 
 
+def test_jaccard_stage_shuffles_no_texts_for_few_ids(spark, capsys):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.filter_stage(spark, make(spark, [(k, prose(k % 20, 50)) for k in range(40)]), "")
+        kept.explain()
+        assert "Exchange hashpartitioning" not in capsys.readouterr().out
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_jaccard_stage_tells_texts_of_one_id_apart(spark):
     a, b = prose(1, 60), prose(2, 60)
     rows = [(1, a), (7, a), (7, b), (9, b + " x"), (9, b + " x"), (3, a + " y"), (12, "Other Words here"), (12, "other words HERE")]
