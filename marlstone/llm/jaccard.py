@@ -46,6 +46,8 @@ N, THRESHOLD = 2, 0.7
 BUCKETS, TASK_BYTES, BLOCK_BYTES, HOT, MOST_IDS = 1 << 24, 12 << 20, 24 << 20, 1 << 15, 1 << 20
 #: Pairs for each group of a shingle from which its groups are a family; bytes of a family's texts that share a salt.
 DENSE, FAMILY_BYTES = 16, 6 << 20
+#: Records that are packed at once, and members in a batch: the parts grow with the corpus, and each slice has little for each.
+PACKED, MEMBERS = 1 << 18, 1 << 10
 _CHUNK = 1 << 18
 #: What a record takes in a payload, a column at a time. Of a shingle 32 bits go with its range (others that share them give candidates that
 #: don't stand verification); of the one before it, which drops a pair, 48.
@@ -124,8 +126,8 @@ def bins(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2, n / 4))).astype(np.int64), 0)
 
 
-def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: float) -> pa.RecordBatch:
-    """Index records and members of a slice, packed by the task they go to."""
+def indexed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Index records of a slice and the tasks they go to; members, the tasks they go to, and their histograms."""
     h, offs = sets(batch.column("text"))
     size = np.diff(offs)
     row = text.owners(offs)
@@ -166,8 +168,6 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
         record["at"] |= np.concatenate([np.zeros(len(few), np.uint32), side]) << np.uint32(30)
         # A pair of blocks has a token of its own; the top bits of the position tell its two blocks apart.
         record["token"] = np.where(block > 0, text.mix(record["token"] + block.astype(text.U) * text.U(0x9E3779B97F4A7C15)) & text.U(0xFFFFFFFF), record["token"])
-    by = np.argsort(to, kind="stable")
-    record, cut = record[by], np.searchsorted(to[by], np.arange(parts + 1))
     full = np.flatnonzero(size)
     member = np.zeros(len(full), _MEMBER)
     member["doc"], member["hash"] = text.ids(batch, "doc_id")[full], text.ids(batch, "hash")[full]
@@ -177,19 +177,65 @@ def packed(batch: pa.RecordBatch, rank: np.ndarray, parts: int, hot: int, t: flo
     coffs = np.concatenate([[0], np.cumsum(bins(size))])
     hist = np.bincount(coffs[:-1][row] + ((h >> text.U(18)).astype(np.int64) & (bins(size)[row] - 1)), minlength=coffs[-1])
     hist = np.minimum(255, hist).astype(np.uint8).tobytes()
-    mto = (member["print"] >> text.U(24)).astype(np.int64) % parts
+    ends = coffs.tolist()
+    return record, to, member, (member["print"] >> text.U(24)).astype(np.int64) % parts, [hist[ends[k] : ends[k + 1]] for k in full.tolist()]
+
+
+def packed(held: list[tuple], parts: int) -> pa.RecordBatch:
+    """What ``indexed`` gave for some slices, packed by task."""
+    record, to, member, mto = (np.concatenate([x[k] for x in held]) for k in range(4))
+    hist = [h for x in held for h in x[4]]
+    by = np.argsort(to, kind="stable")
+    record, cut = record[by], np.searchsorted(to[by], np.arange(parts + 1))
     by = np.argsort(mto, kind="stable")
-    member, mcut, cells = member[by], np.searchsorted(mto[by], np.arange(parts + 1)), coffs[full[by]].tolist()
-    ends = coffs[full[by] + 1].tolist()
-    join = lambda a, b: b"".join(hist[x:y] for x, y in zip(cells[a:b], ends[a:b], strict=True))
+    member, mcut, hist = member[by], np.searchsorted(mto[by], np.arange(parts + 1)), [hist[k] for k in by.tolist()]
     columns = {f: np.ascontiguousarray(record[f]) for f in _RECORD.names}
     out_to = np.flatnonzero((np.diff(cut) > 0) | (np.diff(mcut) > 0))
-    out = [np.array([cut[k + 1] - cut[k], mcut[k + 1] - mcut[k]], "<u8").tobytes() + b"".join(columns[f][cut[k] : cut[k + 1]].tobytes() for f in _RECORD.names) + member[mcut[k] : mcut[k + 1]].tobytes() + join(mcut[k], mcut[k + 1]) for k in out_to]
+    out = [np.array([cut[k + 1] - cut[k], mcut[k + 1] - mcut[k]], "<u8").tobytes() + b"".join(columns[f][cut[k] : cut[k + 1]].tobytes() for f in _RECORD.names) + member[mcut[k] : mcut[k + 1]].tobytes() + b"".join(hist[mcut[k] : mcut[k + 1]]) for k in out_to]
     return pa.RecordBatch.from_arrays([pa.array(out_to.astype(np.int32)), pa.array(out, pa.binary())], ["part", "payload"])
 
 
+def spread(count: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, step) of each i with the steps below its count, some ``most`` at once."""
+    sums, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
+        c = count[at:to]
+        if c.any():
+            yield np.repeat(np.arange(at, to), c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        at = to
+
+
+def partners(block: np.ndarray, size: np.ndarray, place: np.ndarray, t: float, most: int) -> np.ndarray:
+    """For each record how many others of its block pass the filters of size, position and side with it.
+
+    Records of one block, size and place (position and side) are one kind, and pairs of kinds are tried: far fewer in a family, however large.
+    """
+    order = np.lexsort((place, size, block))
+    block, size, place = block[order], size[order], place[order]
+    new = np.append(len(order) > 0, (block[1:] != block[:-1]) | (size[1:] != size[:-1]) | (place[1:] != place[:-1]))
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(order)))
+    block, size, at, side = block[first], size[first], place[first] & 0x3FFFFFFF, place[first] >> 30
+    end = np.searchsorted((block << 32) | size, (block << 32) | np.minimum(np.floor(size / t + 1e-9).astype(np.int64), 0xFFFFFFFF), "right")
+    found = np.zeros(len(first), np.int64)
+    for i, step in spread(end - np.arange(len(first)), most):
+        j = i + step
+        ok = np.minimum(size[i] - at[i], size[j] - at[j]) >= least_overlap(size[i], size[j], t)
+        ok &= (side[i] == 0) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        found += np.bincount(i, n[j] - (i == j), len(found)).astype(np.int64)
+        found += np.bincount(j, np.where(i == j, 0, n[i]), len(found)).astype(np.int64)
+    out = np.empty(len(order), np.int64)
+    out[order] = found[np.cumsum(new) - 1]
+    return out
+
+
 def joined(record: np.ndarray, t: float, most: int = 1 << 20):
-    """Of one task's records, a part at a time: distinct pairs of groups, and lists (number, group) of groups that are dense."""
+    """Of one task's records, a part at a time: distinct pairs of groups, and lists (number, group) of groups that are dense.
+
+    Shingles of more than a 16th of ``most`` pairs are told to be dense by counts of partners, before any of their pairs is formed; each gives one list.
+    """
     record = record[np.lexsort((record["group"], record["size"], record["token"]))]
     token, group = record["token"], record["group"]
     keep = np.ones(len(record), bool)
@@ -202,36 +248,43 @@ def joined(record: np.ndarray, t: float, most: int = 1 << 20):
     key = (block << 32) | size
     end = np.searchsorted(key, (block << 32) | np.minimum(np.floor(size / t + 1e-9).astype(np.int64), 0xFFFFFFFF), "right")
     count = end - np.arange(len(record)) - 1
-    sums = np.cumsum(count)
-    at = 0
-    while at < len(record):
-        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
-        c = count[at:to]
-        if c.any():
-            i = np.repeat(np.arange(at, to), c)
-            j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            a, b = record[i], record[j]
-            side = a["at"] >> np.uint32(30)
-            other = (side == 0) | (side != b["at"] >> np.uint32(30))
-            a["at"] &= np.uint32(0x3FFFFFFF)
-            b["at"] &= np.uint32(0x3FFFFFFF)
-            rest = np.minimum(a["size"] - a["at"], b["size"] - b["at"])
-            ok = (rest >= least_overlap(a["size"], b["size"], t)) & (a["group"] != b["group"]) & other
-            ok &= ~((a["low"] == b["low"]) & (a["high"] == b["high"]) & (a["at"] > 0) & (b["at"] > 0))
-            a, b, of = a["group"][ok], b["group"][ok], block[i[ok]]
-            first = np.flatnonzero(np.append(len(of) > 0, of[1:] != of[:-1]))
-            ends = np.append(first[1:], len(of))
-            few, dense = np.ones(len(of), bool), [np.zeros((0, 2), text.U)]
-            for k in np.flatnonzero(ends - first > 2 * DENSE * DENSE):  # fewer pairs can't be dense
-                s, e = first[k], ends[k]
-                groups = np.unique(np.concatenate([a[s:e], b[s:e]]))
-                if e - s > DENSE * len(groups):
-                    few[s:e] = False
-                    number = text.mix(np.array([record["token"][i[ok][s]]], text.U) + text.U(0x9E3779B97F4A7C15 * (at + 1) % 2**64))
-                    dense.append(np.stack([np.repeat(number, len(groups)), groups], axis=1))
-            a, b = a[few], b[few]
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0), np.concatenate(dense)
-        at = to
+    large = np.flatnonzero((np.bincount(block, count) > most >> 4)[block]) if len(record) else block
+    if len(large):
+        of, place = block[large], record["at"][large].astype(np.int64)
+        degree = partners(of, size[large], place, t, most)
+        before = record["low"][large].astype(np.int64) | record["high"][large].astype(np.int64) << 32
+        by = np.lexsort((before, of))
+        same = np.empty(len(large), np.int64)
+        same[by] = np.cumsum(np.append(True, (of[by][1:] != of[by][:-1]) | (before[by][1:] != before[by][:-1])))
+        later = np.flatnonzero(place & 0x3FFFFFFF)
+        degree[later] -= partners(same[later], size[large][later], place[later], t, most)  # they are found at the shingle before
+        dense = (np.bincount(of, degree) > 2 * DENSE * np.bincount(of, degree > 0))[of]
+        on = large[dense & (degree > 0)]
+        yield np.zeros((0, 2), text.U), np.stack([text.mix(record["token"][on].astype(text.U)), record["group"][on]], axis=1)
+        count[large[dense]] = 0
+    for i, step in spread(count, most):
+        start, j = i[0], i + 1 + step
+        a, b = record[i], record[j]
+        side = a["at"] >> np.uint32(30)
+        other = (side == 0) | (side != b["at"] >> np.uint32(30))
+        a["at"] &= np.uint32(0x3FFFFFFF)
+        b["at"] &= np.uint32(0x3FFFFFFF)
+        rest = np.minimum(a["size"] - a["at"], b["size"] - b["at"])
+        ok = (rest >= least_overlap(a["size"], b["size"], t)) & (a["group"] != b["group"]) & other
+        ok &= ~((a["low"] == b["low"]) & (a["high"] == b["high"]) & (a["at"] > 0) & (b["at"] > 0))
+        a, b, of = a["group"][ok], b["group"][ok], block[i[ok]]
+        first = np.flatnonzero(np.append(len(of) > 0, of[1:] != of[:-1]))
+        ends = np.append(first[1:], len(of))
+        few, dense = np.ones(len(of), bool), [np.zeros((0, 2), text.U)]
+        for k in np.flatnonzero(ends - first > 2 * DENSE * DENSE):  # fewer pairs can't be dense
+            s, e = first[k], ends[k]
+            groups = np.unique(np.concatenate([a[s:e], b[s:e]]))
+            if e - s > DENSE * len(groups):
+                few[s:e] = False
+                number = text.mix(np.array([record["token"][i[ok][s]]], text.U) + text.U(0x9E3779B97F4A7C15 * (int(start) + 1) % 2**64))
+                dense.append(np.stack([np.repeat(number, len(groups)), groups], axis=1))
+        a, b = a[few], b[few]
+        yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0), np.concatenate(dense)
 
 
 def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -244,9 +297,16 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
     shared = spark.sparkContext.broadcast(rank)
 
     def pack(batches):
+        held, n = [], 0
         for whole in batches:
             for b in text.slices(whole, "text", 1 << 20):
-                yield packed(b, shared.value, parts, hot, t)
+                held.append(indexed(b, shared.value, parts, hot, t))
+                n += len(held[-1][0])
+                if n >= PACKED:
+                    yield packed(held, parts)
+                    held, n = [], 0
+        if held:
+            yield packed(held, parts)
 
     names = ["kind", "a", "b", "doc_id", "hash", "bytes", "size", "hist"]
 
@@ -256,8 +316,13 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
         extra.append(pa.nulls(n, pa.binary()) if hist is None else pa.array(hist, pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a.astype(text.U).view(np.int64)), pa.array(b.astype(text.U).view(np.int64)), *extra], names)
 
+    def listed(some, hist):
+        member = np.concatenate(some)
+        return rows(0, member["print"], member["group"], member, hist)
+
     def join(batches):
         held: dict[int, list[np.ndarray]] = {}
+        some, hist = [], []
         for batch in batches:
             for k, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
                 raw = payload.as_buffer()
@@ -271,7 +336,13 @@ def candidates(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFra
                 if m:
                     ends = (at + m * _MEMBER.itemsize + np.cumsum(member["bins"].astype(np.int64))).tolist()
                     cells = raw.to_pybytes()
-                    yield rows(0, member["print"], member["group"], member, [cells[s:e] for s, e in zip([at + m * _MEMBER.itemsize, *ends[:-1]], ends, strict=True)])
+                    some.append(member.copy())
+                    hist.extend(cells[s:e] for s, e in zip([at + m * _MEMBER.itemsize, *ends[:-1]], ends, strict=True))
+                if len(hist) >= MEMBERS:
+                    yield listed(some, hist)
+                    some, hist = [], []
+        if some:
+            yield listed(some, hist)
         for k in list(held):
             for pair, dense in joined(np.concatenate(held.pop(k)), t):
                 yield rows(1, pair[:, 0], pair[:, 1])
@@ -346,15 +417,29 @@ def compared(keys: np.ndarray, codes: np.ndarray, offs: np.ndarray, side: np.nda
         for f in ids:
             elsewhere.setdefault(f, []).append(k)
     to = np.searchsorted(size, np.floor(size / t + 1e-9), "right")
+    # Shingles of many sets are bits, 64 to a word; the others are looked up.
+    common = np.bincount(codes, minlength=len(often)) > max(1, len(by) >> 6)
+    number = np.cumsum(common) - 1
+    bits = np.zeros((-(-int(common.sum()) // 64), len(by)), text.U)
+    which, owner = common[codes], text.owners(offs)
+    spot = number[codes[which]]
+    np.bitwise_or.at(bits, (spot >> 6, owner[which]), text.U(1) << (spot & 63).astype(text.U))
+    codes, offs = codes[~which], np.searchsorted(owner[~which], np.arange(len(by) + 1))
     seen = np.zeros(len(often), np.int32)
     links, label, edges = np.zeros(len(by), np.int64), np.arange(len(by)), []
     for k in range(len(by)):
         if (z := int(to[k])) <= k + 1:
             continue
         mine = codes[offs[k] : offs[k + 1]]
-        seen[mine] = 1
-        same = np.add.reduceat(seen.take(codes[offs[k + 1] : offs[z]]), offs[k + 1 : z] - offs[k + 1])
-        seen[mine] = 0
+        same = np.zeros(z - k - 1, np.int64)
+        for word in bits:
+            if word[k]:
+                same += np.bitwise_count(word[k + 1 : z] & word[k])
+        if len(mine):
+            seen[mine] = 1
+            rest = np.append(0, np.cumsum(seen.take(codes[offs[k + 1] : offs[z]])))
+            same += np.diff(rest[offs[k + 1 : z + 1] - offs[k + 1]])
+            seen[mine] = 0
         j = same / (size[k] + size[k + 1 : z] - same)
         good = j >= t
         if side[k]:

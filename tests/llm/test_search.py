@@ -102,6 +102,29 @@ def test_pairs_of_large_families_are_not_listed(spark, monkeypatch):
     assert links(spark, rows) == want
 
 
+def test_a_dense_shingle_gives_one_list_of_its_groups(monkeypatch):
+    r, n = np.random.default_rng(2), 400
+    record = np.zeros(n + 60, jaccard._RECORD)
+    record["token"], record["group"], record["size"] = 7, np.arange(n + 60), r.integers(90, 110, n + 60)
+    record["at"] = r.integers(0, 30, n + 60) | r.integers(0, 3, n + 60) << 30
+    record["low"] = np.where(r.random(n + 60) < 0.5, 5, np.arange(n + 60) + 10)
+    record["at"][n:] = 80  # too late to be in a pair
+    with_partner, pairs = set(), 0
+    for a, b in itertools.combinations(record, 2):
+        x, y, side = a["at"] & 0x3FFFFFFF, b["at"] & 0x3FFFFFFF, a["at"] >> 30
+        ok = min(a["size"] - x, b["size"] - y) >= jaccard.least_overlap(a["size"], b["size"], 0.7) and (side == 0 or side != b["at"] >> 30)
+        if ok and not (x and y and a["low"] == b["low"]):
+            with_partner |= {int(a["group"]), int(b["group"])}
+            pairs += 1
+    found = list(jaccard.joined(record, 0.7, 1 << 12))
+    lists = np.concatenate([x[1] for x in found])
+    assert pairs > jaccard.DENSE * len(with_partner) and len(lists) == len(with_partner) < n + 60
+    assert set(lists[:, 1].tolist()) == with_partner and len(set(lists[:, 0].tolist())) == 1
+    assert sum(len(x[0]) for x in found) == 0
+    monkeypatch.setattr(jaccard, "DENSE", n)
+    assert sum(len(x[0]) for x in jaccard.joined(record, 0.7, 1 << 12)) == pairs
+
+
 def test_sets_of_several_families_are_linked_once(monkeypatch):
     keys, offs = np.array([1, 2, 3, 4]), np.arange(5) * 10
     codes = np.concatenate([np.arange(10), np.arange(10), np.arange(10), np.arange(50, 60)]).astype(np.int32)
