@@ -6,10 +6,10 @@ there is one static predictor for each of the ``ORDERS`` bytes before it, a slot
 was taken elsewhere in the corpus, and one that adapts online: the byte that followed the latest earlier place of the text with the
 same ``MATCH`` bytes before it says which side it expects.
 
-What is gathered grows with the corpus: different texts are dealt by hash into cells of about ``CELL`` bytes, each
-with tables of its own, counted and used in one task. A cell's texts fall in two halves, and are scored
-by the counts of the other half, so that none helps to predict itself; a text counts once, however many rows have it. Counts become
-stretched probabilities, ln(p / (1 - p)) with p = (n1 + 0.4) / (n + 0.8), of 8 bits.
+The counts are those of all rows of the corpus but the one that is scored: a row doesn't help to predict itself, its copies do.
+What is gathered grows with the corpus: texts are dealt by hash into cells of about ``CELL`` bytes. Each cell counts what follows its
+contexts, the counts of a context meet in one task, and each cell gets back the sums over the corpus for the contexts that it has.
+Counts become stretched probabilities, ln(p / (1 - p)) with p = (n1 + 0.4) / (n + 0.8), of 8 bits.
 
 The predictors' values are combined in the logistic domain by weights that a gate selects: how the latest
 expectations of the online predictor came true (none; wrong; right up to ``SURE`` bytes; longer), and the
@@ -20,8 +20,8 @@ mix to a probability, moved towards what was seen after each block), averaged wi
 document's score depends on its text and the corpus only, not on what shares its task.
 
 Defined cases: a null or empty text has 0 bytes, 0 bits and null bits_per_byte; null ids are kept; repeated rows (and other rows of
-the same text) score alike; an empty table gives no rows; where the other half is empty all static predictors say 1/2; ties
-can't occur; a text of any length is scored whole, in about 60 bytes of memory for each byte of the longest one; other columns are ignored.
+the same text) score alike; an empty table gives no rows; of a single row all static predictors say 1/2; ties
+can't occur; a text of any length is scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ SCALE = 15.0
 _NODE = np.random.default_rng(3).integers(1, 1 << BITS, 256, dtype=np.int32)
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _CHUNK = 1 << 16
+_KIND, _HELD, _PART = 56, 1 << 22, 1 << 18
 
 
 def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,8 @@ class Trees:
         for j in range(self.deep):
             self.bits[1 << j :] = j + 1
         self.flat = np.ascontiguousarray(self.step.reshape(-1))
+        # A byte's place among the leaves of its tree: those below a node are neighbours.
+        self.rank = self.code.reshape(256, 256).argsort(1).argsort(1).astype(np.uint8).reshape(-1)
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
@@ -130,11 +134,11 @@ def contexts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def bases(context: np.ndarray, k: int) -> np.ndarray:
+def bases(context: np.ndarray, k: int, bits: int = BITS) -> np.ndarray:
     """The base of each byte's context of ``ORDERS[k]`` bytes; a decision's slot is its base and its node's number by exclusive or."""
     h = context & np.uint64((1 << (8 * ORDERS[k])) - 1)
     h *= np.uint64(_SPREAD[k])
-    h >>= np.uint64(64 - BITS)
+    h >>= np.uint64(64 - bits)
     return h.astype(np.int32)
 
 
@@ -151,25 +155,163 @@ def followers(context: np.ndarray, byte: np.ndarray, k: int) -> tuple[np.ndarray
     return key >> np.uint64(8), (key & np.uint64(0xFF)).astype(np.uint8), n
 
 
+def add(total: np.ndarray, k: int, before: np.ndarray, then: np.ndarray, n: np.ndarray, trees: Trees) -> None:
+    """Add to a table of counts, by slot and side, bytes that follow contexts of ``ORDERS[k]`` bytes."""
+    base = bases(before, k, len(total).bit_length() - 2)
+    pair = ((before.astype(np.int32) & 0xFF) << 8) | then
+    deep = trees.depth.take(pair)
+    for j in range(int(deep.max(initial=0))):
+        on = deep > j
+        if j:
+            base, pair, n, deep = base[on], pair[on], n[on], deep[on]
+        step = trees.step[j].take(pair)
+        np.add.at(total, (base ^ _NODE.take(step >> 1)) << 1 | (step & 1), n)
+
+
 def count(slices: list[tuple[np.ndarray, np.ndarray]], trees: Trees) -> np.ndarray:
     """The tables of 8-bit values by order and slot, from texts given as (bytes, offsets)."""
     total = np.zeros((len(ORDERS), 2 << BITS), np.int32)
     for data, offs in slices:
         context = contexts(data, offs)
         for k in range(len(ORDERS)):
-            before, then, n = followers(context, data, k)
-            base = bases(before, k)
-            pair = ((before.astype(np.int32) & 0xFF) << 8) | then
-            deep = trees.depth.take(pair)
-            for j in range(int(deep.max(initial=0))):
-                on = deep > j
-                if j:
-                    base, pair, n, deep = base[on], pair[on], n[on], deep[on]
-                step = trees.step[j].take(pair)
-                np.add.at(total[k], (base ^ _NODE.take(step >> 1)) << 1 | (step & 1), n)
+            add(total[k], k, *followers(context, data, k), trees)
     return np.stack([stretched(c[0::2], c[1::2]) for c in total])
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and the sums of their counts, from sorted parts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")  # merges what is sorted
+    key = key[order]
+    first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def gathered(slices: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (order, context, byte that follows) and how often they occur in texts given as (rows of each, bytes, offsets)."""
+    keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for times, data, offs in slices:
+        context = contexts(data, offs)
+        for k in range(len(ORDERS)):
+            before, then, n = followers(context, data, k)
+            keys.append(np.uint64(k << _KIND) | before << np.uint64(8) | then)
+            counts.append(n.astype(np.int64) * times)
+        held += len(keys[-1])
+        if held > _HELD + 2 * len(keys[0]):
+            key, n = summed(keys, counts)
+            keys, counts, held = [key], [n], 0
+    return summed(keys, counts)
+
+
+def tables(key: np.ndarray, n: np.ndarray, trees: Trees, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the counts by slot and side, from ``gathered`` keys, and their values ``without_one``; with 4 slots or more for each key."""
+    cuts = np.searchsorted(key, np.arange(len(ORDERS) + 1, dtype=np.uint64) << np.uint64(_KIND))
+    out = []
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        total = np.zeros(2 << max(BITS, min(29, int(4 * (z - a)).bit_length())), kind)
+        add(total, k, key[a:z] >> np.uint64(8) & np.uint64((1 << 8 * ORDERS[k]) - 1), (key[a:z] & np.uint64(0xFF)).astype(np.uint8), n[a:z].astype(kind), trees)
+        out.append((total, without_one(total)))
+    return out
+
+
+def sorted_places(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and the place of each; no key is above ``most``."""
+    low = max(1, (len(key) - 1).bit_length())
+    if most.bit_length() + low > 64:
+        place = np.argsort(key, kind="stable")
+        return key[place], place
+    both = key << np.uint64(low)
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+def without_one(total: np.ndarray) -> np.ndarray:
+    """For each slot and side the 8-bit value of the slot's counts, less one on that side."""
+    out = np.empty(len(total), np.int8)
+    for a in range(0, len(total), 2 * _CHUNK):
+        n0, n1 = total[a : a + 2 * _CHUNK].reshape(-1, 2).T
+        out[a : a + 2 * _CHUNK : 2] = stretched(np.maximum(n0 - 1, 0), n1)
+        out[a + 1 : a + 2 * _CHUNK : 2] = stretched(n0, np.maximum(n1 - 1, 0))
+    return out
+
+
+def predicted(offs: np.ndarray, pair: np.ndarray, context: np.ndarray, trees: Trees, total: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """What the static predictors say by the counts of all rows but the byte's own one.
+
+    For each order the place of each byte's first decision among the values, where those of its later ones follow; and the values.
+    """
+    at = [np.empty(len(pair), np.int32 if len(pair) < 1 << 25 else np.int64) for _ in ORDERS]
+    values, start, row = [], 0, 0
+    while row < len(offs) - 1:  # whole rows, as many as a cache holds
+        to = max(row + 1, int(np.searchsorted(offs, offs[row] + _PART, "right")) - 1)
+        a, z = offs[row], offs[to]
+        if a < z:
+            group, done = text.owners(offs[row : to + 1]).astype(np.uint64), 0
+            for k, order in enumerate(ORDERS):
+                wide = 8 * (order - done)
+                key = group << np.uint64(wide)
+                key |= (context[a:z] >> np.uint64(8 * done)) & np.uint64((1 << wide) - 1)
+                key <<= np.uint64(8)
+                key |= trees.rank.take(pair[a:z])
+                key, place = sorted_places(key, ((int(group.max()) + 1) << (wide + 8)) - 1)
+                done = order
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # of each text's different contexts and bytes
+                n = np.diff(np.append(first, z - a))
+                key = key[first] >> np.uint64(8)
+                own = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.int64)
+                group[place] = np.repeat(own, n)
+                place_of = place[first]
+                which = pair[a:z].take(place_of)
+                ends = np.cumsum(trees.depth.take(which))
+                begin = np.append(0, ends[:-1])
+                at[k][a:z][place] = np.repeat(start + begin, n)
+                values.append(others(own, which, bases(context[a:z].take(place_of), k, len(total[k][0]).bit_length() - 2), n.astype(np.int32), begin, trees, *total[k]))
+                start += int(ends[-1])
+        row = to
+    return at, np.concatenate(values)
+
+
+def others(own: np.ndarray, pair: np.ndarray, base: np.ndarray, n: np.ndarray, begin: np.ndarray, trees: Trees, total: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """The values of all decisions from ``total`` less the own counts: of contexts (numbered by ``own``) and bytes in the trees' order, which occur ``n`` times.
+
+    Bytes below a node are neighbours. Where only one byte is left that occurs once, values of ``without_one`` do.
+    """
+    deep = trees.depth.take(pair)
+    value = np.empty(int(begin[-1] + deep[-1]), np.int8)
+    own = own << 8
+    apart = np.append(True, own[1:] != own[:-1])
+    lone, level = [], 0
+    while True:
+        single = apart & np.append(apart[1:], True) & (n == 1)
+        lone.append((begin[single] + level, pair[single] + np.int32(level << 16), base[single], deep[single] - level))
+        on = np.flatnonzero(~single & (deep > level))
+        if not len(on):
+            break
+        own, pair, base, n, begin, deep = own[on], pair[on], base[on], n[on], begin[on], deep[on]
+        step = trees.step[level].take(pair)
+        node = own | step >> 1
+        run = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        size = np.diff(np.append(run, len(node)))
+        last = run + size - 1
+        ones, both = np.cumsum(n * (step & 1))[last], np.cumsum(n)[last]
+        ones[1:] -= ones[:-1].copy()
+        both[1:] -= both[:-1].copy()
+        slot = (base[run] ^ _NODE.take(step[run] >> 1)) << 1
+        value[begin + level] = np.repeat(stretched(total.take(slot) - (both - ones), total.take(slot | 1) - ones), size)
+        apart = np.append(True, (node[1:] != node[:-1]) | (step[1:] != step[:-1]))
+        level += 1
+    begin, pair, base, deep = (np.concatenate(x) for x in zip(*lone, strict=True))
+    for a in range(0, len(deep), _CHUNK):
+        d = deep[a : a + _CHUNK]
+        ends = np.cumsum(d)
+        later = np.arange(ends[-1]) - np.repeat(ends - d, d)
+        step = trees.flat.take(np.repeat(pair[a : a + _CHUNK], d) + (later << 16))
+        slot = np.repeat(base[a : a + _CHUNK], d) ^ _NODE.take(step >> 1)
+        value[np.repeat(begin[a : a + _CHUNK], d) + later] = less.take(slot << 1 | (step & 1))
+    return value
+
+
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     x = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
     return np.round(np.clip(x * np.float32(SCALE), -127, 127)).astype(np.int8)
@@ -203,8 +345,8 @@ def expected(data: np.ndarray, offs: np.ndarray, pair: np.ndarray, context: np.n
     return agree, np.int16(1) + (run > 0) + (run > SURE)
 
 
-def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, values: np.ndarray) -> np.ndarray:
-    """Total bits of each row. ``values``: the tables of ``count``."""
+def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, total: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Total bits of each row, which ``total``, the tables of ``tables``, counts too."""
     rows = len(offs) - 1
     bits = np.zeros(rows)
     if not len(data):
@@ -215,15 +357,14 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, values: np.ndarray)
     agree, state = expected(data, offs, pair, context, trees)
     size = np.diff(offs)
     row = text.owners(offs)
-    base = [bases(context, k) | np.int32(k << BITS) for k in range(len(ORDERS))]
+    first_at, values = predicted(offs, pair, context, trees, total)
     edges = np.cumsum(np.concatenate([BLOCKS, np.full(max(0, int(size.max()) // BLOCKS[-1]), BLOCKS[-1])]))
     block = np.searchsorted(edges, np.arange(len(data)) - offs[:-1][row], "right").astype(np.uint16 if len(edges) < 65536 else np.int64)
     order = np.argsort(block, kind="stable")
     cuts = np.searchsorted(block[order], np.arange(int(block.max()) + 2))
     row, pair, agree, state = (x.take(order) for x in (row, pair, agree, state))
-    base = [b.take(order) for b in base]
+    first_at = [x.take(order) for x in first_at]
     deep = trees.depth[pair]
-    flat = values.reshape(-1)
     start = np.full((n_in, GATES), WEIGHT / SCALE, np.float32)
     start[-1] = np.tile(TRUST, DEEP)
     weight, power = np.repeat(start[:, None], rows, 1), np.ones((n_in, rows, GATES), np.float32)
@@ -233,13 +374,13 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, values: np.ndarray)
     unit = np.full(n_in, 1 / SCALE, np.float32)
     unit[-1] = 1
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        total = np.cumsum(deep[a:z])
+        upto = np.cumsum(deep[a:z])
         first = np.flatnonzero(np.append(True, row[a + 1 : z] != row[a : z - 1]))  # of each row's part
         ends = np.append(first[1:], z - a)
         at = 0
         while at < len(first):  # whole rows, as many as a cache holds
-            done = total[first[at] - 1] if first[at] else 0
-            to = max(at + 1, int(np.searchsorted(total[ends - 1], done + _CHUNK, "right")))
+            done = upto[first[at] - 1] if first[at] else 0
+            to = max(at + 1, int(np.searchsorted(upto[ends - 1], done + _CHUNK, "right")))
             s, e = a + first[at], a + ends[to - 1]
             who = row[a + first[at:to]]
             d = deep[s:e]
@@ -250,10 +391,9 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, values: np.ndarray)
             mine = np.repeat(pair[s:e], d)
             mine += level.astype(np.int32) << np.int32(16)
             step = trees.flat.take(mine, mode="clip")
-            node = _NODE.take(step >> 1, mode="clip")
             yes = (step & 1).astype(np.float32)
             no = one - yes  # |q - no| is the probability of what came
-            x = [flat.take(np.repeat(b[s:e], d) ^ node, mode="clip").astype(np.float32) for b in base]
+            x = [values.take(np.repeat(f[s:e], d) + level, mode="clip").astype(np.float32) for f in first_at]
             ahead = np.repeat(agree[s:e], d) - level
             x.append((yes - no) * ((ahead > 0).astype(np.float32) - (ahead == 0)))
             group = np.minimum(level, DEEP - 1) * np.int16(STATES) + np.repeat(state[s:e], d) * (ahead >= 0)
@@ -289,44 +429,96 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, values: np.ndarray)
     return bits
 
 
-def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without those whose (k1, k2) an earlier row had."""
-    seen: set[tuple[int, int]] = set()
-    for b in batches:
-        keep = []
-        for i, key in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)):
-            if key not in seen:
-                seen.add(key)
-                keep.append(i)
-        yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
+def labels(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash sends there, so that each gets one cell."""
+    found, many = [], 8 * n
+    while len(found) < n:
+        at = F.pmod(F.hash("id"), F.lit(n)).alias("at")
+        found = spark.range(many).select("id", at).groupBy("at").agg(F.min("id").alias("id")).orderBy("at").collect()
+        many *= 2
+    return np.array([r.id for r in found])
+
+
+def held(rows: pa.Table, most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a cell's different texts, all of a slice with the same number of rows, and that number."""
+    k1, k2 = (rows.column(c).to_numpy() for c in ("k1", "k2"))
+    order = np.lexsort((rows.column("text").is_null().to_numpy(), k2, k1))
+    k1, k2 = k1[order], k2[order]
+    first = np.flatnonzero(np.append(len(k1) > 0, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+    times = np.diff(np.append(first, len(k1)))
+    by = np.argsort(times, kind="stable")
+    times, texts = times[by], rows.column("text").cast(pa.large_string())
+    whole = pa.table({"k1": k1[first[by]], "k2": k2[first[by]], "text": texts.take(pa.array(order[first[by]]))})
+    cuts = np.append(np.flatnonzero(np.append(len(times) > 0, times[1:] != times[:-1])), len(times))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        for b in whole.slice(a, z - a).to_batches():
+            for part in text.slices(b, "text", most):
+                yield int(times[a]), part
 
 
 def bits_per_byte(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, bits, bits_per_byte of every row.
 
-    Copies are dropped by each map task and again by each cell; scores are joined to the rows by two 64-bit hashes of the text.
+    Different texts are scored once, in their cell; a map task sends only the key of a text that it sent before.
+    Scores are joined to the rows by two 64-bit hashes of the text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = pair_counts(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(Trees(counts))
-    cells = max(1, -(-int(counts.sum()) // CELL))
+    spark, n_bytes = docs.sparkSession, int(counts.sum())
+    shared = spark.sparkContext.broadcast(Trees(counts))
+    cells = max(1, -(-n_bytes // CELL))
+    label = labels(spark, cells)
+    kind = np.int32 if n_bytes < 1 << 31 else np.int64
     keys = F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")
 
-    def run(batches):
-        held: tuple[list, list] = [], []
-        for whole in fresh(batches):
-            half = whole.column("k2").to_numpy() & 1
-            for h in (0, 1):
-                for b in text.slices(whole.filter(pa.array(half == h)), "text", 1 << 20):
-                    held[h].append((b.column("k1"), b.column("k2"), *text.raw(b.column("text"))))
-        for h in (0, 1):
-            values = count([x[2:] for x in held[1 - h]], shared.value) if held[h] else None
-            for k1, k2, data, offs in held[h]:
-                yield pa.RecordBatch.from_arrays([k1, k2, pa.array(scored(data, offs, shared.value, values))], ["k1", "k2", "bits"])
-
-    texts = docs.where("text <> ''").select(*keys, "text")
-    texts = texts.mapInArrow(fresh, texts.schema).repartition(cells, "k1")
-    scores = texts.mapInArrow(run, "k1 long, k2 long, bits double")
+    def deal(batches):
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            k1, k2, new = b.column("k1"), b.column("k2"), []
+            for key in zip(k1.to_pylist(), k2.to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            cell = label[k1.to_numpy().view(np.uint64) % np.uint64(cells)]
+            once = pc.if_else(pa.array(new, pa.bool_()), b.column("text"), pa.scalar(None, b.column("text").type))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), k1, k2, once], ["cell", "k1", "k2", "text"])
+
+    def ask(rows):
+        key, n = gathered((times, *text.raw(b.column("text"))) for times, b in held(rows, 4 << 20))
+        part = (text.mix((key >> text.U(8)) * text.U(_SPREAD[0])) % text.U(cells)).astype(np.uint16 if cells <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(cells + 1))
+        parts = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({
+            "part": label, "cell": pa.array([rows.column("cell")[0].as_py()] * cells, pa.int64()),
+            "keys": pa.array([key[x].tobytes() for x in parts], pa.binary()), "counts": pa.array([n[x].tobytes() for x in parts], pa.binary()),
+        })
+
+    def answer(batches):
+        asked = [(r["cell"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for b in batches for r in b.to_pylist()]
+        if not asked:
+            return
+        key, n = summed([x[1] for x in asked], [x[2] for x in asked])
+        for cell, own, _ in asked:
+            before = own & ~text.U(0xFF)
+            before = before[np.append(len(before) > 0, before[1:] != before[:-1])]
+            low, high = np.searchsorted(key, before), np.searchsorted(key, before | text.U(0xFF), "right")
+            size = high - low
+            at = np.repeat(high - np.cumsum(size), size) + np.arange(int(size.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([key[at].tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary())], ["cell", "keys", "counts"])
+
+    def run(rows, answers):
+        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers.column("keys")])
+        n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answers.column("counts")])
+        order = np.argsort(key, kind="stable")
+        total = tables(key[order], n[order], shared.value, kind)
+        del key, n, order
+        done = [(b.column("k1"), b.column("k2"), scored(*text.raw(b.column("text")), shared.value, total)) for _, b in held(rows, 1 << 20)]
+        return pa.table({"k1": pa.chunked_array([x[0] for x in done], pa.int64()), "k2": pa.chunked_array([x[1] for x in done], pa.int64()), "bits": pa.chunked_array([x[2] for x in done], pa.float64())})
+
+    texts = docs.where("text <> ''").select(*keys, "text").mapInArrow(deal, "cell long, k1 long, k2 long, text string").repartition(cells, "cell")
+    asked = texts.groupBy("cell").applyInArrow(ask, "part long, cell long, keys binary, counts binary")
+    answers = asked.repartition(cells, "part").mapInArrow(answer, "cell long, keys binary, counts binary").repartition(cells, "cell")
+    scores = texts.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(run, "k1 long, k2 long, bits double")
     rows = docs.select("doc_id", *keys, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     bits = F.coalesce("bits", F.lit(0.0))
     return rows.join(scores, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.round(bits, 3).alias("bits"), F.round(bits / F.nullif("n_bytes", F.lit(0)), 5).alias("bits_per_byte"))

@@ -123,6 +123,26 @@ def test_mixing_cells_grow_with_the_corpus(spark, monkeypatch):
     assert one.keys() == some.keys() and sum(one.values()) < sum(some.values())  # smaller cells know less
 
 
+@pytest.mark.parametrize("cell", [64 << 20, 3000])
+def test_mixing_counts_all_rows_but_the_scored_one(spark, monkeypatch, cell):
+    texts = [prose(k, 20 + 60 * k, 60) for k in range(6)] + ["ab" * 150 + "é日", "x", prose(9, 400, 2000)]
+    rows = [*texts, texts[2], texts[8]]
+    docs = make(spark, list(enumerate(rows)))
+    monkeypatch.setattr(mixing, "CELL", cell)
+    trees = mixing.Trees(mixing.pair_counts(docs))
+    got = {r.doc_id: r.bits for r in mixing.bits_per_byte(docs).collect()}
+    assert len(got) == len(rows) and got[len(texts)] == got[2]
+    for k, x in enumerate(rows):
+        counts = scalar_counts([y.encode() for j, y in enumerate(rows) if j != k], trees)
+        assert got[k] == pytest.approx(scalar_bits(x.encode(), trees, counts), rel=2e-3)
+
+
+def test_mixing_scores_apart_what_occurs_twice(spark):
+    rows = [prose(k, 150, 5000) for k in range(40)]
+    got = {r.doc_id: r.bits_per_byte for r in mixing.bits_per_byte(make(spark, list(enumerate([*rows, *rows[:5]])))).collect()}
+    assert max(got[k] for k in range(5)) < min(got[k] for k in range(5, 40))
+
+
 def test_mixing_codes_are_proper():
     depth, steps = mixing.tree(np.arange(256) ** 2)
     assert sum(2.0 ** -int(d) for d in depth) == pytest.approx(1) and depth.max() < 24
