@@ -288,8 +288,8 @@ def others(own: np.ndarray, pair: np.ndarray, base: np.ndarray, n: np.ndarray, b
         on = np.flatnonzero(~single & (deep > level))
         if not len(on):
             break
-        own, pair, base, n, begin, deep = own[on], pair[on], base[on], n[on], begin[on], deep[on]
-        step = trees.step[level].take(pair)
+        own, pair, base, n, begin, deep = (x.take(on, mode="clip") for x in (own, pair, base, n, begin, deep))
+        step = trees.step[level].take(pair, mode="clip")
         node = own | step >> 1
         run = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         size = np.diff(np.append(run, len(node)))
@@ -298,17 +298,23 @@ def others(own: np.ndarray, pair: np.ndarray, base: np.ndarray, n: np.ndarray, b
         ones[1:] -= ones[:-1].copy()
         both[1:] -= both[:-1].copy()
         slot = (base[run] ^ _NODE.take(step[run] >> 1)) << 1
-        value[begin + level] = np.repeat(stretched(total.take(slot) - (both - ones), total.take(slot | 1) - ones), size)
+        value[begin + level] = np.repeat(stretched(total.take(slot, mode="clip") - (both - ones), total.take(slot | 1, mode="clip") - ones), size)
         apart = np.append(True, (node[1:] != node[:-1]) | (step[1:] != step[:-1]))
         level += 1
     begin, pair, base, deep = (np.concatenate(x) for x in zip(*lone, strict=True))
     for a in range(0, len(deep), _CHUNK):
         d = deep[a : a + _CHUNK]
         ends = np.cumsum(d)
-        later = np.arange(ends[-1]) - np.repeat(ends - d, d)
-        step = trees.flat.take(np.repeat(pair[a : a + _CHUNK], d) + (later << 16))
-        slot = np.repeat(base[a : a + _CHUNK], d) ^ _NODE.take(step >> 1)
-        value[np.repeat(begin[a : a + _CHUNK], d) + later] = less.take(slot << 1 | (step & 1))
+        all_of = np.arange(ends[-1])
+        which = np.repeat(pair[a : a + _CHUNK] - ((ends - d) << 16), d)
+        which += all_of << 16
+        step = trees.flat.take(which, mode="clip")
+        slot = np.repeat(base[a : a + _CHUNK], d)
+        slot ^= _NODE.take(step >> 1, mode="clip")
+        slot <<= 1
+        slot |= step & 1
+        all_of += np.repeat(begin[a : a + _CHUNK] - (ends - d), d)
+        value[all_of] = less.take(slot, mode="clip")
     return value
 
 
