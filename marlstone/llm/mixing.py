@@ -27,6 +27,7 @@ can't occur; a text of any length is scored whole; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,8 @@ WEIGHT, TRUST = 0.4, (0.0, 0.5, 1.5, 3.0)
 SCALE = 15.0
 _NODE = np.random.default_rng(3).integers(1, 1 << BITS, 256, dtype=np.int32)
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_CHUNK = 1 << 16
-_KIND, _HELD, _PART = 56, 1 << 22, 1 << 18
+_CHUNK = 1 << 15
+_KIND, _HELD, _PART = 56, 1 << 22, 1 << 17
 
 
 def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +91,9 @@ class Trees:
         self.bits = np.zeros(1 << self.deep, np.int16)  # how many a number has
         for j in range(self.deep):
             self.bits[1 << j :] = j + 1
-        self.flat = np.ascontiguousarray(self.step.reshape(-1))
+        self.side = (self.step & 1).astype(np.int8)
+        # A decision's slot and side, 2 * slot + side, is twice its base and this number by exclusive or.
+        self.node = _NODE[self.step >> 1] << 1 | self.step & 1
         # A byte's place among the leaves of its tree: those below a node are neighbours.
         self.rank = self.code.reshape(256, 256).argsort(1).argsort(1).astype(np.uint8).reshape(-1)
 
@@ -191,16 +194,17 @@ def gathered(slices: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.n
     """Keys (order, context, byte that follows) and how often they occur in texts given as (rows of each, bytes, offsets)."""
     keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for times, data, offs in slices:
-        context = contexts(data, offs)
-        for k in range(len(ORDERS)):
-            before, then, n = followers(context, data, k)
-            keys.append(np.uint64(k << _KIND) | before << np.uint64(8) | then)
-            counts.append(n.astype(np.int64) * times)
+        before, then, n = followers(contexts(data, offs), data, len(ORDERS) - 1)
+        keys.append(before << np.uint64(8) | then)
+        counts.append(n.astype(np.int64) * times)
         held += len(keys[-1])
         if held > _HELD + 2 * len(keys[0]):
             key, n = summed(keys, counts)
             keys, counts, held = [key], [n], 0
-    return summed(keys, counts)
+    key, n = summed(keys, counts)
+    # Shorter contexts are the ends of the longest ones.
+    each = [summed([key & np.uint64((1 << 8 * (order + 1)) - 1)], [n]) for order in ORDERS[:-1]] + [(key, n)]
+    return np.concatenate([np.uint64(k << _KIND) | key for k, (key, _) in enumerate(each)]), np.concatenate([n for _, n in each])
 
 
 def tables(key: np.ndarray, n: np.ndarray, trees: Trees, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -214,16 +218,21 @@ def tables(key: np.ndarray, n: np.ndarray, trees: Trees, kind: type) -> list[tup
     return out
 
 
-def sorted_places(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys in order, and the place of each; no key is above ``most``."""
+def sorted_places(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, where each begins among all in order, and the place of each of these; no key is above ``most``."""
     low = max(1, (len(key) - 1).bit_length())
     if most.bit_length() + low > 64:
         place = np.argsort(key, kind="stable")
-        return key[place], place
-    both = key << np.uint64(low)
+        key = key[place]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key.take(first), first, place
+    both, mask = key << np.uint64(low), np.uint64((1 << low) - 1)
     both |= np.arange(len(key), dtype=np.uint64)
     both.sort()
-    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, (both[1:] ^ both[:-1]) > mask))
+    key = both.take(first) >> np.uint64(low)
+    both &= mask
+    return key, first, both.view(np.int64)
 
 
 def without_one(total: np.ndarray) -> np.ndarray:
@@ -236,91 +245,133 @@ def without_one(total: np.ndarray) -> np.ndarray:
     return out
 
 
-def predicted(offs: np.ndarray, pair: np.ndarray, context: np.ndarray, trees: Trees, total: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """What the static predictors say by the counts of all rows but the byte's own one.
-
-    For each order the place of each byte's first decision among the values, where those of its later ones follow; and the values.
-    """
-    at = [np.empty(len(pair), np.int32 if len(pair) < 1 << 25 else np.int64) for _ in ORDERS]
-    values, start, row = [], 0, 0
-    while row < len(offs) - 1:  # whole rows, as many as a cache holds
+def alike(group: np.ndarray, context: np.ndarray, rank: np.ndarray, done: int, order: int, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different (group, bytes ``done`` to ``order`` of the context, rank) in order; the place of one of each, the sum of ``n`` (1 if None), and which one each place has."""
+    wide = 8 * (order - done)
+    key = group << np.uint64(wide)
+    key |= (context >> np.uint64(8 * done)) & np.uint64((1 << wide) - 1)
+    key <<= np.uint64(8)
+    key |= rank
+    key, first, place = sorted_places(key, ((int(group.max()) + 1) << (wide + 8)) - 1)
+    many = np.diff(np.append(first, len(place)))
+    of = np.empty(len(place), np.int32)
+    of[place] = np.repeat(np.arange(len(first), dtype=np.int32), many)
+    return key, place.take(first), many if n is None else np.add.reduceat(n.take(place), first), of
+
+
+def parts(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Whole rows that aren't empty together, from one to another, as many as a cache holds."""
+    row = 0
+    while row < len(offs) - 1:
         to = max(row + 1, int(np.searchsorted(offs, offs[row] + _PART, "right")) - 1)
-        a, z = offs[row], offs[to]
-        if a < z:
-            group, done = text.owners(offs[row : to + 1]).astype(np.uint64), 0
-            for k, order in enumerate(ORDERS):
-                wide = 8 * (order - done)
-                key = group << np.uint64(wide)
-                key |= (context[a:z] >> np.uint64(8 * done)) & np.uint64((1 << wide) - 1)
-                key <<= np.uint64(8)
-                key |= trees.rank.take(pair[a:z])
-                key, place = sorted_places(key, ((int(group.max()) + 1) << (wide + 8)) - 1)
-                done = order
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # of each text's different contexts and bytes
-                n = np.diff(np.append(first, z - a))
-                key = key[first] >> np.uint64(8)
-                own = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.int64)
-                group[place] = np.repeat(own, n)
-                place_of = place[first]
-                which = pair[a:z].take(place_of)
-                ends = np.cumsum(trees.depth.take(which))
-                begin = np.append(0, ends[:-1])
-                at[k][a:z][place] = np.repeat(start + begin, n)
-                values.append(others(own, which, bases(context[a:z].take(place_of), k, len(total[k][0]).bit_length() - 2), n.astype(np.int32), begin, trees, *total[k]))
-                start += int(ends[-1])
+        if offs[row] < offs[to]:
+            yield row, to
         row = to
-    return at, np.concatenate(values)
 
 
-def others(own: np.ndarray, pair: np.ndarray, base: np.ndarray, n: np.ndarray, begin: np.ndarray, trees: Trees, total: np.ndarray, less: np.ndarray) -> np.ndarray:
-    """The values of all decisions from ``total`` less the own counts: of contexts (numbered by ``own``) and bytes in the trees' order, which occur ``n`` times.
+def predicted(offs: np.ndarray, pair: np.ndarray, context: np.ndarray, trees: Trees, total: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What the static predictors say by the counts of all rows but the byte's own one.
 
-    Bytes below a node are neighbours. Where only one byte is left that occurs once, values of ``without_one`` do.
+    For each order the number of each byte's context and byte among a row's different ones; and their values by level.
     """
-    deep = trees.depth.take(pair)
-    value = np.empty(int(begin[-1] + deep[-1]), np.int8)
-    own = own << 8
-    apart = np.append(True, own[1:] != own[:-1])
+    at = [np.empty(len(pair), np.int32 if len(pair) < 1 << 31 else np.int64) for _ in ORDERS]
+    values, start = [[] for _ in ORDERS], np.zeros(len(ORDERS), np.int64)
+    for row, to in parts(offs):
+        a, z = offs[row], offs[to]
+        group, part, rank = text.owners(offs[row : to + 1]).astype(np.uint64), context[a:z], trees.rank.take(pair[a:z]).astype(np.uint64)
+
+        def told(k, key, place, n, of):
+            """The contexts' numbers of different contexts and bytes, whose values are kept."""
+            own = np.cumsum(np.append(False, (key[1:] ^ key[:-1]) > 0xFF))
+            values[k].append(others(own, pair[a:z].take(place), bases(part.take(place), k, len(total[k][0]).bit_length() - 2), n, trees, *total[k]))
+            np.add(of, start[k], out=at[k][a:z], casting="same_kind")
+            start[k] += len(key)
+            return own
+
+        key, middle, n, of = alike(group, part, rank, 0, ORDERS[1])
+        group_of = told(1, key, middle, n, of).astype(np.uint64).take(of, mode="clip")
+        key, place, n, short = alike(group.take(middle), part.take(middle), rank.take(middle), 0, ORDERS[0], n)  # from those of the middle order
+        told(0, key, middle.take(place), n, short.take(of, mode="clip"))
+        told(2, *alike(group_of, part, rank, ORDERS[1], ORDERS[2]))
+    for k, x in enumerate(values):
+        whole, done = np.empty((max(map(len, x)), int(start[k])), np.int8), 0
+        for v in x:
+            whole[: len(v), done : done + v.shape[1]] = v
+            done += v.shape[1]
+        values[k] = whole
+    return at, values
+
+
+def others(own: np.ndarray, pair: np.ndarray, base: np.ndarray, n: np.ndarray, trees: Trees, total: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """The values by level of all decisions from ``total`` less the own counts: of contexts (numbered by ``own``) and bytes in the trees' order, which occur ``n`` times.
+
+    Bytes below a node are neighbours, from ``low`` to ``high``. Where only one is left, all its decisions are told at once; if it occurs once, by ``without_one``.
+    """
+    deep = trees.depth.astype(np.uint8).take(pair)
+    value = np.empty((int(deep.max()), len(pair)), np.int8)
+    two, base, upto = total.reshape(-1, 2), base << 1, np.append(0, np.cumsum(n))
+    # The level at which a byte's path leaves that of the byte before, 255 for a context's first one; places by level.
+    code = trees.code.take(pair)
+    leaves = np.full(len(pair), 255, np.uint8)
+    leaves[1:] = trees.deep - trees.bits.take(code[1:] ^ code[:-1])
+    leaves[1:] |= (own[1:] != own[:-1]).view(np.uint8) * np.uint8(255)
+    places, cuts = np.argsort(leaves, kind="stable"), np.append(0, np.cumsum(np.bincount(leaves, minlength=256)))
+    low = places[cuts[255] :]
+    high = np.append(low[1:], len(pair))
     lone, level = [], 0
     while True:
-        single = apart & np.append(apart[1:], True) & (n == 1)
-        lone.append((begin[single] + level, pair[single] + np.int32(level << 16), base[single], deep[single] - level))
-        on = np.flatnonzero(~single & (deep > level))
+        size = high - low
+        lone.append(low.take(np.flatnonzero(size == 1)))
+        on = np.flatnonzero(size > 1)
         if not len(on):
             break
-        own, pair, base, n, begin, deep = (x.take(on, mode="clip") for x in (own, pair, base, n, begin, deep))
-        step = trees.step[level].take(pair, mode="clip")
-        node = own | step >> 1
-        run = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        size = np.diff(np.append(run, len(node)))
-        last = run + size - 1
-        ones, both = np.cumsum(n * (step & 1))[last], np.cumsum(n)[last]
-        ones[1:] -= ones[:-1].copy()
-        both[1:] -= both[:-1].copy()
-        slot = (base[run] ^ _NODE.take(step[run] >> 1)) << 1
-        value[begin + level] = np.repeat(stretched(total.take(slot, mode="clip") - (both - ones), total.take(slot | 1, mode="clip") - ones), size)
-        apart = np.append(True, (node[1:] != node[:-1]) | (step[1:] != step[:-1]))
+        low, high, size = low.take(on), high.take(on), size.take(on)
+        node, last = trees.node[level].take(pair.take(low)), trees.side[level].take(pair.take(high - 1))
+        both = upto.take(high) - upto.take(low)
+        ones = both * last
+        forks, at = np.flatnonzero(last > (node & 1)), places[cuts[level] : cuts[level + 1]]
+        ones[forks] = upto.take(high.take(forks)) - upto.take(at)
+        found = two.take((base.take(low) ^ node) >> 1, axis=0, mode="clip")
+        told = stretched(found[:, 0] - (both - ones), found[:, 1] - ones)
+        if size.sum() > len(pair) >> 2:  # what lies between is told later
+            value[level, low[0] :] = np.repeat(told, np.diff(np.append(low, len(pair))))
+        else:
+            ends = np.cumsum(size)
+            value[level][np.arange(ends[-1]) + np.repeat(low - (ends - size), size)] = np.repeat(told, size)
+        parts = np.ones(len(low), np.int64)
+        parts[forks] = 2
+        low, high, forks = np.repeat(low, parts), np.repeat(high, parts), forks + np.arange(len(forks))
+        high[forks] = low[forks + 1] = at
         level += 1
-    begin, pair, base, deep = (np.concatenate(x) for x in zip(*lone, strict=True))
-    for a in range(0, len(deep), _CHUNK):
-        d = deep[a : a + _CHUNK]
-        ends = np.cumsum(d)
-        all_of = np.arange(ends[-1])
-        which = np.repeat(pair[a : a + _CHUNK] - ((ends - d) << 16), d)
-        which += all_of << 16
-        step = trees.flat.take(which, mode="clip")
-        slot = np.repeat(base[a : a + _CHUNK], d)
-        slot ^= _NODE.take(step >> 1, mode="clip")
-        slot <<= 1
-        slot |= step & 1
-        all_of += np.repeat(begin[a : a + _CHUNK] - (ends - d), d)
-        value[all_of] = less.take(slot, mode="clip")
+    skip = np.repeat(np.arange(len(lone), dtype=np.uint8), [len(x) for x in lone])
+    lone = np.concatenate(lone)
+    rest, often = deep.take(lone) - skip, (n > 1).take(lone)
+    by, rare = np.argsort(often.view(np.uint8) << 7 | (127 - rest), kind="stable"), len(lone) - np.count_nonzero(often)
+    lone, skip, rest = lone.take(by), skip.take(by).astype(np.int32), rest.take(by)
+    flat, wide = value.reshape(-1), len(pair)
+    start, which, base = skip * np.int64(wide) + lone, pair.take(lone) + (skip << 16), base.take(lone)
+    for j, m in enumerate(longer(rest[:rare])):
+        slot = base[:m] ^ trees.node.reshape(-1)[j << 16 :].take(which[:m], mode="clip")
+        flat[j * wide :][start[:m]] = less.take(slot, mode="clip")
+    start, which, base, n = start[rare:], which[rare:], base[rare:], n.take(lone[rare:])
+    for j, m in enumerate(longer(rest[rare:])):
+        slot = base[:m] ^ trees.node.reshape(-1)[j << 16 :].take(which[:m], mode="clip")
+        found, ones = two.take(slot >> 1, axis=0, mode="clip"), n[:m] * (slot & 1)
+        flat[j * wide :][start[:m]] = stretched(found[:, 0] - (n[:m] - ones), found[:, 1] - ones)
     return value
 
 
+def longer(n: np.ndarray) -> np.ndarray:
+    """How many of the numbers are above 0, above 1 and so on."""
+    return len(n) - np.cumsum(np.bincount(n))[:-1]
+
+
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    x = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
-    return np.round(np.clip(x * np.float32(SCALE), -127, 127)).astype(np.int8)
+    x = (n1 + np.float32(0.4)) / (n0 + np.float32(0.4))
+    np.log(x, out=x)
+    x *= np.float32(SCALE)
+    np.clip(x, -127, 127, out=x)
+    return np.rint(x, out=x).astype(np.int8)
 
 
 def expected(data: np.ndarray, offs: np.ndarray, pair: np.ndarray, context: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
@@ -337,18 +388,18 @@ def expected(data: np.ndarray, offs: np.ndarray, pair: np.ndarray, context: np.n
     mask = np.uint64((1 << low) - 1)
     again = np.flatnonzero((key[1:] ^ key[:-1]) <= mask)
     place, before = (key[again + 1] & mask).astype(np.int64), (key[again] & mask).astype(np.int64)
-    agree = np.full(n, -1, np.int16)
+    agree = np.full(n, -1, np.int8)
     actual = pair[place]
     differ = trees.code[actual] ^ trees.code[(actual & 0xFF00) | data[before]]
     # The first decision apart is the highest bit in which the codes differ.
-    agree[place] = np.int16(trees.deep) - trees.bits[differ]
+    agree[place] = np.int16(trees.deep) - trees.bits.take(differ)
     wrong = np.arange(n, dtype=np.int32)
-    wrong[place[differ == 0]] = -1
+    wrong[place.take(np.flatnonzero(differ == 0))] = -1
     np.maximum.accumulate(wrong, out=wrong)
     run = np.arange(-1, n - 1, dtype=np.int32)
     run[1:] -= wrong[:-1]
     run[0] = 0
-    return agree, np.int16(1) + (run > 0) + (run > SURE)
+    return agree, np.int8(1) + (run > 0) + (run > SURE)
 
 
 def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, total: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -360,17 +411,23 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, total: list[tuple[n
     n_in = len(ORDERS) + 1
     pair = pairs(data, offs).astype(np.int32)
     context = contexts(data, offs)
-    agree, state = expected(data, offs, pair, context, trees)
+    agree, state = np.empty(len(data), np.int8), np.empty(len(data), np.int8)
+    for a, z in parts(offs):
+        own = slice(offs[a], offs[z])
+        agree[own], state[own] = expected(data[own], offs[a : z + 1] - offs[a], pair[own], context[own], trees)
     size = np.diff(offs)
     row = text.owners(offs)
     first_at, values = predicted(offs, pair, context, trees, total)
-    edges = np.cumsum(np.concatenate([BLOCKS, np.full(max(0, int(size.max()) // BLOCKS[-1]), BLOCKS[-1])]))
-    block = np.searchsorted(edges, np.arange(len(data)) - offs[:-1][row], "right").astype(np.uint16 if len(edges) < 65536 else np.int64)
+    edges = np.cumsum(np.concatenate([[0], BLOCKS, np.full(max(0, int(size.max()) // BLOCKS[-1]), BLOCKS[-1])]))
+    n = np.searchsorted(edges, size)  # blocks of each row
+    block = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    long = np.minimum(edges[1:].take(block), np.repeat(size, n)) - edges.take(block)
+    block = np.repeat(block.astype(np.uint16 if len(edges) < 65536 else np.int64), long)
     order = np.argsort(block, kind="stable")
-    cuts = np.searchsorted(block[order], np.arange(int(block.max()) + 2))
+    cuts = np.append(0, np.cumsum(np.bincount(block)))
     row, pair, agree, state = (x.take(order) for x in (row, pair, agree, state))
     first_at = [x.take(order) for x in first_at]
-    deep = trees.depth[pair]
+    deep = trees.depth.astype(np.uint8).take(pair)
     start = np.full((n_in, GATES), WEIGHT / SCALE, np.float32)
     start[-1] = np.tile(TRUST, DEEP)
     weight, power = np.repeat(start[:, None], rows, 1), np.ones((n_in, rows, GATES), np.float32)
@@ -380,7 +437,7 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, total: list[tuple[n
     unit = np.full(n_in, 1 / SCALE, np.float32)
     unit[-1] = 1
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        upto = np.cumsum(deep[a:z])
+        upto = np.cumsum(deep[a:z], dtype=np.int64)
         first = np.flatnonzero(np.append(True, row[a + 1 : z] != row[a : z - 1]))  # of each row's part
         ends = np.append(first[1:], z - a)
         at = 0
@@ -389,29 +446,36 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, total: list[tuple[n
             to = max(at + 1, int(np.searchsorted(upto[ends - 1], done + _CHUNK, "right")))
             s, e = a + first[at], a + ends[to - 1]
             who = row[a + first[at:to]]
-            d = deep[s:e]
-            reach = np.cumsum(d)
-            many = np.diff(np.append(0, reach[ends[at:to] - 1 - first[at]]))
+            # Level by level; bytes of many decisions come first, so that those that have a level are the first ones.
+            by = np.argsort(~deep[s:e], kind="stable")
+            many = longer(deep[s:e])
+            reach = np.append(0, np.cumsum(many))
             m = int(reach[-1])
-            level = (np.arange(m) - np.repeat(reach - d, d)).astype(np.int16)
-            mine = np.repeat(pair[s:e], d)
-            mine += level.astype(np.int32) << np.int32(16)
-            step = trees.flat.take(mine, mode="clip")
-            yes = (step & 1).astype(np.float32)
+            ahead, true, which = agree[s:e].take(by), state[s:e].take(by), pair[s:e].take(by).astype(np.int64)
+            places = [f[s:e].take(by).astype(np.int64) for f in first_at]
+            gate = np.repeat(np.arange(to - at) * GATES, ends[at:to] - first[at:to]).take(by)
+            group, sides, said = np.empty(m, np.int64), np.empty(m, np.int8), np.empty((n_in, m), np.int8)
+            for level, (l, r) in enumerate(itertools.pairwise(reach)):
+                c = r - l
+                for k, f in enumerate(places):
+                    np.take(values[k][level], f[:c], out=said[k, l:r], mode="clip")
+                np.take(trees.side[level], which[:c], out=sides[l:r], mode="clip")
+                np.subtract((ahead[:c] > level).view(np.int8), (ahead[:c] == level).view(np.int8), out=said[-1, l:r])
+                np.add(gate[:c], true[:c] * (ahead[:c] >= level).view(np.int8), out=group[l:r])
+                if level < DEEP - 1:
+                    gate += STATES
+            yes = sides.astype(np.float32)
             no = one - yes  # |q - no| is the probability of what came
-            x = [values.take(np.repeat(f[s:e], d) + level, mode="clip").astype(np.float32) for f in first_at]
-            ahead = np.repeat(agree[s:e], d) - level
-            x.append((yes - no) * ((ahead > 0).astype(np.float32) - (ahead == 0)))
-            group = np.minimum(level, DEEP - 1) * np.int16(STATES) + np.repeat(state[s:e], d) * (ahead >= 0)
-            group = group.astype(np.int64)
-            group += np.repeat(np.arange(to - at) * GATES, many)
+            x = said.astype(np.float32)
+            x[-1] *= yes - no
             w = weight[:, who].reshape(n_in, -1)
             dot = w[0].take(group, mode="clip") * x[0]
             for k in range(1, n_in):
                 dot += w[k].take(group, mode="clip") * x[k]
             np.clip(dot, -12, 12, out=dot)
-            where = (dot * np.float32(CELLS / 16) + np.float32(CELLS / 2)).astype(np.int64)
-            np.clip(where, 0, CELLS - 1, out=where)
+            where = dot * np.float32(CELLS / 16)
+            where += np.float32(CELLS / 2)
+            where = np.clip(where, 0, CELLS - 1, out=where).astype(np.int64)
             where += group * CELLS
             np.negative(dot, out=dot)
             np.exp(dot, out=dot)
@@ -420,16 +484,17 @@ def scored(data: np.ndarray, offs: np.ndarray, trees: Trees, total: list[tuple[n
             own = cell[who]
             q = (p + own.reshape(-1).take(where, mode="clip")) * half
             q -= no
-            begin = np.cumsum(many) - many
-            bits[who] -= np.add.reduceat(np.log2(np.abs(q, out=q)), begin, dtype=np.float64)
-            error = yes - p
             shape = (to - at, GATES)
+            bits[who] -= np.bincount(group, np.log2(np.abs(q, out=q)), shape[0] * GATES).reshape(shape).sum(1)
+            error, pull = yes - p, np.empty(m)
             for k in range(n_in):
-                g = (np.bincount(group, error * x[k], shape[0] * GATES).reshape(shape) * unit[k]).astype(np.float32)
+                g = (np.bincount(group, np.multiply(error, x[k], out=pull), shape[0] * GATES).reshape(shape) * unit[k]).astype(np.float32)
                 power[k, who] += g * g
                 weight[k, who] += np.float32(RATE) * g / np.sqrt(power[k, who]) * unit[k]
-            seen = np.bincount(where, minlength=own.size).reshape(own.shape).astype(np.float32)
-            ones = np.bincount(where, yes, own.size).reshape(own.shape).astype(np.float32)
+            both = np.bincount(where, yes + np.float64(2**26), own.size).reshape(own.shape)  # counts and ones in one sum
+            seen = np.floor(both * 2.0**-26)
+            ones = (both - seen * 2.0**26).astype(np.float32)
+            seen = seen.astype(np.float32)
             cell[who] = (own + np.float32(PULL) * ones) / (one + np.float32(PULL) * seen)
             at = to
     return bits

@@ -137,6 +137,29 @@ def test_mixing_counts_all_rows_but_the_scored_one(spark, monkeypatch, cell):
         assert got[k] == pytest.approx(scalar_bits(x.encode(), trees, counts), rel=2e-3)
 
 
+def test_mixing_sorts_bytes_once_to_count_and_twice_to_score(monkeypatch):
+    texts = ["é日", "", *(prose(k, 20 + 90 * k, 300) for k in range(8)), "x"]
+    data, offs = T.raw(pa.array(texts))
+    sizes = {"followers": [], "sorted_places": []}
+    for name, seen in sizes.items():
+        monkeypatch.setattr(mixing, name, lambda key, *rest, f=getattr(mixing, name), seen=seen: (seen.append(len(key)), f(key, *rest))[1])
+    key, n = mixing.gathered([(3, data, offs)])
+    assert sum(sizes["followers"]) == len(data)
+    want = {}
+    for x in map(str.encode, texts):
+        for i, k in itertools.product(range(len(x)), range(len(mixing.ORDERS))):
+            at = k << 56 | before(x, i, mixing.ORDERS[k]) << 8 | x[i]
+            want[at] = want.get(at, 0) + 3
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == want and key.tolist() == sorted(want)
+    trees = mixing.Trees(np.bincount(mixing.pairs(data, offs), minlength=1 << 16))
+    total = mixing.tables(key, n, trees, np.int32)
+    bits = mixing.scored(data, offs, trees, total)
+    assert sum(sizes["sorted_places"]) < 2.9 * len(data)
+    for name, size in (("_PART", 700), ("_CHUNK", 300)):  # how much is done at once doesn't matter
+        monkeypatch.setattr(mixing, name, size)
+        assert mixing.scored(data, offs, trees, total) == pytest.approx(bits, rel=1e-5)
+
+
 def test_mixing_scores_apart_what_occurs_twice(spark):
     rows = [prose(k, 150, 5000) for k in range(40)]
     got = {r.doc_id: r.bits_per_byte for r in mixing.bits_per_byte(make(spark, list(enumerate([*rows, *rows[:5]])))).collect()}
